@@ -8,7 +8,8 @@ with the vectors applied during the scan; they are never shuffled.
 Defined cases: a null identifier is no identifier, such rows all stay. A null in
 an order column counts as latest. Rows equal in every order column are told
 apart by their place in the files, so exactly one stays. An empty table gives an
-empty table. Extra columns of any name pass through untouched.
+empty table. Extra columns pass through untouched; only the four names that begin
+with ``__place_`` are taken.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from annotary.runtime import cut
 #: Vector words in one broadcast. A word and its key take about 100 bytes in a
 #: hash relation, so a broadcast stays below about 100 MB whatever the table's size.
 WORDS_PER_BROADCAST = 1_000_000
-_FILE, _WORD, _BITS, _ROW = "__file", "__word", "__bits", "__row"
+_FILE, _WORD, _BITS, _ROW = "__place_file", "__place_word", "__place_bits", "__place_row"
 
 
 def _place(df: DataFrame) -> DataFrame:
-    return df.withColumns({_FILE: F.xxhash64("_metadata.file_path"), _ROW: F.col("_metadata.row_index")})
+    meta = df.metadataColumn("_metadata")  # also right where the table has a column of that name
+    return df.withColumns({_FILE: F.xxhash64(meta["file_path"]), _ROW: meta["row_index"]})
 
 
 def _word() -> Column:
@@ -40,7 +42,7 @@ def _bit() -> Column:
 
 
 def deletion_vectors(spark: SparkSession, path: str, key: str, order: Sequence[str]) -> DataFrame:
-    """``(__file, __word, __bits)``: the bits of rows that another delivery of the same key replaces."""
+    """``(__place_file, __place_word, __place_bits)``: the bits of rows that another delivery of the same key replaces."""
     narrow = _place(spark.read.parquet(path)).select(
         F.col(key).alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], _FILE, _ROW
     ).where("k is not null")
