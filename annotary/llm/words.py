@@ -1,0 +1,13 @@
+"""Words of a text, as the duplicate problems count them."""
+
+from __future__ import annotations
+
+import re
+
+#: A longest run of letters or digits.
+WORD = re.compile(r"[^\W_]+")
+
+
+def words(text: str | None) -> list[str]:
+    """The text's words in order, lower-cased; none for null."""
+    return WORD.findall(text.lower()) if text else []
