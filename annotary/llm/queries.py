@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotary.llm import crosssplit, neardup, topn
-from annotary.runtime import table
+from annotary.llm import crosssplit, leakage, mixing, neardup, quality, topn
+from annotary.runtime import cut, table
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,70 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosssplit.report(rows, crosssplit.overlaps(rows)).withColumnRenamed("split", "split_name")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report}
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    return leakage.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items")).select(F.col("id").alias("doc_id"), "item_id")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with long leaked spans cut out."""
+    return leakage.decontaminate(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items")).withColumnRenamed("id", "doc_id")
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, written once: plan and choice both need them."""
+    return cut(mixing.token_sizes(_documents(spark, sf_dir)), "tokens")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their target share."""
+    planned = mixing.plan(mixing.token_sizes(_documents(spark, sf_dir)), table(spark, sf_dir, "mix_targets"))
+    return planned.where("short").select("source")
+
+
+def p7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    sizes = _sizes(spark, sf_dir)
+    return mixing.repeats(sizes, mixing.plan(sizes, table(spark, sf_dir, "mix_targets"))).withColumnRenamed("id", "doc_id")
+
+
+def _mix(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    sizes = _sizes(spark, sf_dir)
+    planned = mixing.plan(sizes, table(spark, sf_dir, "mix_targets"), rule)
+    return mixing.shares(mixing.repeats(sizes, planned), planned)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual shares of the mix that aims at the targets."""
+    return _mix(spark, sf_dir, "targets")
+
+
+def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual shares of the mix whose exponent is bisected to the targets' entropy and the repetition limits."""
+    return _mix(spark, sf_dir, "temperature")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are not prose."""
+    return quality.statistics(_documents(spark, sf_dir)).where("not is_prose").select(F.col("id").alias("doc_id"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics and structure of every document."""
+    return quality.statistics(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_groups, p2_found, p3_found, p3_report, p6_found, p6_clean,
+        p7_found, p7_repeats, p7_shares, p7_tempered, p8_found, p8_statistics,
+    )
+}
 
 _SETS = """SELECT {key}, list_sort(list_distinct(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM {table}"""
 
@@ -74,4 +137,9 @@ ORACLE = {
         p AS (SELECT x.pmid AS pmid_a, y.pmid AS pmid_b, len(list_intersect(x.w, y.w)) AS i, len(x.w) AS m, len(y.w) AS n
             FROM t x JOIN t y ON x.pmid < y.pmid AND len(x.w) >= 0.7 * len(y.w) AND len(y.w) >= 0.7 * len(x.w))
         SELECT DISTINCT pmid_a, pmid_b FROM p WHERE i / (m + n - i) >= 0.7""",
+    "p6_found": """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text <> ''),
+        e AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text <> ''),
+        dg AS (SELECT DISTINCT id AS doc_id, hash(w[k:k+11]) AS h, w[k:k+11] AS g FROM d, unnest(range(1, len(w) - 10)) AS t(k)),
+        eg AS (SELECT DISTINCT id AS item_id, hash(w[k:k+11]) AS h, w[k:k+11] AS g FROM e, unnest(range(1, len(w) - 10)) AS t(k))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (h, g)""",
 }
