@@ -30,17 +30,11 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _best(items: Column, n: int) -> Column:
-    """Of one row's list: valid items, best score of each, the first ``n`` of the order.
-
-    What is not among a row's own first n cannot be among its group's."""
-    valid = F.filter(
-        items, lambda x: x["label"].isNotNull() & (F.regexp_replace(x["label"], r"(?U)\s", "") != "") & x["score"].isNotNull() & ~F.isnan(x["score"])
-    )
-    order = F.array_sort(valid, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0))
-    # after sorting, an item's first place has its best score
-    names = F.transform(order, lambda x: x["label"])
-    return F.slice(F.filter(order, lambda x, i: F.array_position(names, x["label"]) == i + 1), 1, n)
+def _items(lists: DataFrame) -> DataFrame:
+    """Each group's valid items, each once with its best score."""
+    blank = F.regexp_replace("label", r"(?U)\s", "") == ""
+    valid = lists.select("group", F.inline("items")).where(F.col("label").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & ~blank)
+    return valid.groupBy("group", "label").agg(F.max("score").alias("score"))
 
 
 def top_n(rows: DataFrame, n: int = 5, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
@@ -51,20 +45,15 @@ def top_n(rows: DataFrame, n: int = 5, heavy_parts: int = HEAVY_PARTS) -> DataFr
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     # fewer than heavy_parts rows, whatever the table's size
     heavy = F.broadcast(counted.crossJoin(F.broadcast(total)).where(F.col("n") * heavy_parts > F.col("total")).select("group", F.lit(True).alias("hot")))
-    lists = rows.where("group is not null").select("group", _best(F.col("items"), n).alias("items")).where("size(items) > 0")
+    lists = rows.where("group is not null and size(items) > 0").select("group", "items")
     rank = Window.partitionBy("group").orderBy(F.col("score").desc(), F.col("label"))
     cold = (
-        # one shuffle of lists by group serves the repeats, the window and the counts alike
-        lists.join(heavy, "group", "left_anti")
-        .repartition("group")
-        .select("group", F.inline("items"))
-        .groupBy("group", "label").agg(F.max("score").alias("score"))
+        # one shuffle of whole lists serves the repeats and the window alike
+        _items(lists.join(heavy, "group", "left_anti").repartition("group"))
         .withColumn("rnk", F.row_number().over(rank)).where(F.col("rnk") <= n)
     )
     hot = (
-        lists.join(heavy, "group", "left_semi")
-        .select("group", F.inline("items"))
-        .groupBy("group", "label").agg(F.max("score").alias("score"))
+        _items(lists.join(heavy, "group", "left_semi"))
         .repartitionByRange("group", F.col("score").desc(), "label")
         .withColumn("salt", F.spark_partition_id())
     )
