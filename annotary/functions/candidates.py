@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annotary.functions.text import strip
 
@@ -33,7 +34,7 @@ def labels_from_json(raw: Column, most: int = MOST) -> Column:
     return F.coalesce(F.slice(F.filter(texts, lambda s: s.isNotNull() & (s != "")), 1, most), F.array().cast("array<string>"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def labels_from_literal(raw: pd.Series) -> pd.Series:
     """Labels of a list written as a Python literal, batch by batch; none for anything else."""
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annotary.models.scorers import Factory
 from annotary.runtime import spread
@@ -30,7 +31,7 @@ def _steps(texts: pd.Series, size: int) -> Iterator[list[str]]:
 def classify(text: Column, factory: Factory, size: int = MODEL_BATCH) -> Column:
     """Class with the greatest logit as bigint, the first of equals. Null counts as empty."""
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(T.LongType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _model(factory)
         for s in batches:
@@ -43,7 +44,7 @@ def classify(text: Column, factory: Factory, size: int = MODEL_BATCH) -> Column:
 def generate(prompts: Column, factory: Factory, size: int = MODEL_BATCH) -> Column:
     """A model's text for each prompt."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _model(factory)
         for s in batches:
@@ -55,7 +56,7 @@ def generate(prompts: Column, factory: Factory, size: int = MODEL_BATCH) -> Colu
 def embed(text: Column, factory: Factory, size: int = 128) -> Column:
     """A model's vector for each text."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _model(factory)
         for s in batches:
