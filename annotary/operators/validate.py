@@ -67,15 +67,17 @@ def mapped_names(rows: DataFrame, key: list[str], names: DataFrame, out: str) ->
 
 
 def final_mapping(
-    answers: DataFrame, ontology: DataFrame, mentions: DataFrame, genes: DataFrame, key: list[str], least: float = 0.9, null_text: str | None = "nan"
+    answers: DataFrame, ontology: DataFrame, mentions: DataFrame, genes: DataFrame, key: list[str], least: float = 0.9, null_text: str | None = "nan", all_rows: bool = False
 ) -> DataFrame:
     """Answers ``(key..., pmid, llm_dis_map, best)`` with valid identifiers whose genes the article mentions.
 
-    Adds ``gene_symbols``, ``dis_map_gene``, ``dis_map_name`` and ``dis_map_correct_gene_all`` (1 in all rows kept)."""
+    Adds ``gene_symbols``, ``dis_map_gene``, ``dis_map_name`` and ``dis_map_correct_gene_all``, 1 in all rows kept;
+    ``all_rows`` keeps those with 0 too."""
     known = valid_ids(confident(answers, least), key, ontology)
     none = F.array().cast("array<string>")
     full = known.join(genes_per_article(mentions, genes), "pmid", "left")
     for column, out in (("gene_symbol", "dis_map_gene"), ("disease_name", "dis_map_name")):
         full = full.join(mapped_names(known, key, names_per_id(ontology, column, null_text), out), key, "left").withColumn(out, F.coalesce(out, none))
     flag = X.subset(F.col("dis_map_gene"), F.col("gene_symbols")).cast("int")
-    return full.withColumn("dis_map_correct_gene_all", flag).where("dis_map_correct_gene_all = 1")
+    full = full.withColumn("dis_map_correct_gene_all", flag)
+    return full if all_rows else full.where("dis_map_correct_gene_all = 1")

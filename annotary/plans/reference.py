@@ -308,19 +308,35 @@ def subset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "final_tiab_mappings").select("map_id", X.subset(F.col("dis_map_gene"), F.col("gene_symbols")).cast("int").alias("ok"))
 
 
-@query(f"""WITH best AS ({_BEST}),
+_FLAGGED = f"""WITH best AS ({_BEST}),
     f AS (SELECT * FROM final_tiab_mappings JOIN best USING (row_nr) WHERE best >= 0.9 AND starts_with(llm_dis_map, 'G2P')),
     v AS (SELECT map_id, pmid, llm_dis_map FROM ({_VALID}) WHERE map_id IN (SELECT map_id FROM f)),
     g AS ({_mapped_sql("gene_symbol", "v")}), d AS ({_mapped_sql("disease_name", "v")}), a AS ({_GENES})
-    SELECT v.map_id, v.pmid, v.llm_dis_map, a.gene_symbols AS genes, g.names AS dis_map_gene, d.names AS dis_map_name
-    FROM v JOIN a USING (pmid) JOIN g USING (map_id) LEFT JOIN d USING (map_id)
-    WHERE len(list_filter(string_split(g.names, ';'), lambda x: NOT list_contains(string_split(a.gene_symbols, ';'), x))) = 0""")
-def final_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-10..13, O-40..55, O-60..66, O-79..84 as one plan: validated answers whose genes the article mentions."""
+    SELECT v.map_id, v.pmid, v.llm_dis_map, a.gene_symbols AS genes, coalesce(g.names, '') AS dis_map_gene, coalesce(d.names, '') AS dis_map_name,
+    CAST(g.names IS NOT NULL AND a.gene_symbols IS NOT NULL
+        AND len(list_filter(string_split(g.names, ';'), lambda x: NOT list_contains(string_split(a.gene_symbols, ';'), x))) = 0 AS INTEGER) AS ok
+    FROM v LEFT JOIN a USING (pmid) LEFT JOIN g USING (map_id) LEFT JOIN d USING (map_id)"""
+
+
+def _final(spark: SparkSession, sf_dir: str, all_rows: bool) -> DataFrame:
     answers = table(spark, sf_dir, "final_tiab_mappings").select("map_id", "row_nr", "pmid", "llm_dis_map").join(_best(spark, sf_dir), "row_nr")
-    done = validate.final_mapping(answers, table(spark, sf_dir, "ontology"), table(spark, sf_dir, "gene2pubtator3"), table(spark, sf_dir, "gene_info"), ["map_id"])
+    others = (table(spark, sf_dir, t) for t in ("ontology", "gene2pubtator3", "gene_info"))
+    done = validate.final_mapping(answers, *others, ["map_id"], all_rows=all_rows)
     flat = lambda c, to: F.array_join(c, ";").alias(to)
-    return done.select("map_id", "pmid", "llm_dis_map", flat("gene_symbols", "genes"), flat("dis_map_gene", "dis_map_gene"), flat("dis_map_name", "dis_map_name"))
+    lists = [flat("gene_symbols", "genes"), flat("dis_map_gene", "dis_map_gene"), flat("dis_map_name", "dis_map_name")]
+    return done.select("map_id", "pmid", "llm_dis_map", *lists, F.col("dis_map_correct_gene_all").alias("ok"))
+
+
+@query(_FLAGGED)
+def mapping_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-10..13, O-40..55, O-60..66, O-79..84 as one plan: validated answers, and whether the article mentions all their genes."""
+    return _final(spark, sf_dir, True)
+
+
+@query(f"SELECT * EXCLUDE (ok) FROM ({_FLAGGED}) WHERE ok = 1")
+def final_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, only answers whose genes the article mentions."""
+    return _final(spark, sf_dir, False).drop("ok")
 
 
 @query("""SELECT pmid, tiab, bert_predict, NULL::VARCHAR AS title FROM classified
