@@ -17,7 +17,8 @@ budget is used. Blocks are summed, only the last one is looked at document by do
 nothing is sorted or held whole.
 
 Defined cases: documents of a null or unlisted source are left out; null and empty texts
-have 0 tokens; a listed source without documents falls short if its target is above 0; of a
+have 0 tokens; a listed source without tokens falls short if its target is above 0, of a table without
+any too; of a
 source listed twice the greater share and limit hold; null shares are 0 and null limits 1.
 Empty tables give empty results.
 """
@@ -112,7 +113,7 @@ def plan(sizes: DataFrame, targets: DataFrame, rule: str = "targets") -> DataFra
         s, size = r["source"], r["tokens"]
         budget = min(int(share[s] * total), caps[s])
         passes = budget // size if size else 0
-        out.append((s, r["target_share"], float(share[s]), r["max_repeats"], size, budget, passes, budget - passes * size, caps[s] < r["target_share"] * total, exponent, even[s]))
+        out.append((s, r["target_share"], float(share[s]), r["max_repeats"], size, budget, passes, budget - passes * size, caps[s] < r["target_share"] * total or (r["target_share"] > 0 and caps[s] == 0), exponent, even[s]))
     return spark.createDataFrame(
         out,
         "source string, target_share double, weight double, max_repeats int, tokens long, budget long, passes long, rest long, short boolean, "
