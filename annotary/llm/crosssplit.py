@@ -15,7 +15,8 @@ exact similarity of their word sets.
 
 Recall: the exact condition is on word sets; a pair is missed if it shares less than
 ``LEAST_SHARE`` in either form. Of 3,000 records edited at random down to a similarity between
-0.70 and 0.73 that were 0.8 %.
+0.70 and 0.73 that were 0.8 %. The sketch test, made at thresholds of 0.7 and above, loses
+about 2 in 100,000 pairs at 0.7.
 
 Defined cases: rows without text, split or id, and with a split of neither side, are in no pair; nor are
 texts with fewer than ``min_words`` different words. Equal texts on both sides are a pair
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotary.llm.neardup import word_set
+from annotary.llm.neardup import agree, sketches, word_set
 from annotary.llm.words import words
 from annotary.runtime import cut, spread
 
@@ -108,12 +109,16 @@ def overlaps(
         .where(F.col("before") <= (1 - TAIL) * F.col("total"))
         .where("df > 1")
         .join(classes.select("cid", "on_left", "on_right"), "cid")
+        .join(sketches(classes), "cid")
     )
-    rare = cut(rare.select("cid", "form", "chunk", "length", "total", "on_left", "on_right"), "rare")
-    a = rare.where("on_left").select("form", "chunk", F.col("cid").alias("l"), "length", F.col("total").alias("tl"))
-    b = rare.where("on_right").select("form", "chunk", F.col("cid").alias("r"), F.col("total").alias("tr"))
-    # texts whose lengths differ more than the share allows cannot pass
+    rare = cut(rare.select("cid", "form", "chunk", "length", "total", "on_left", "on_right", "s1", "s2"), "rare")
+    a = rare.where("on_left").select("form", "chunk", F.col("cid").alias("l"), "length", F.col("total").alias("tl"), F.col("s1").alias("l1"), F.col("s2").alias("l2"))
+    b = rare.where("on_right").select("form", "chunk", F.col("cid").alias("r"), F.col("total").alias("tr"), F.col("s1").alias("r1"), F.col("s2").alias("r2"))
+    # texts whose lengths differ more than the share allows cannot pass; nor do nearly all that share common chunks
+    # only, which their sketches tell while the chunks are joined
     met = a.join(b, ["form", "chunk"]).where("l <> r").where(F.least("tl", "tr") >= LEAST_SHARE * F.greatest("tl", "tr"))
+    if threshold >= 0.7:
+        met = met.where(agree(F.col("l1"), F.col("r1"), F.col("l2"), F.col("r2")))
     met = met.groupBy("l", "r", "form").agg(F.sum("length").alias("shared"), F.first(F.greatest("tl", "tr")).alias("longer"))
     met = met.where(F.col("shared") >= (LEAST_SHARE - TAIL) * F.col("longer")).select("l", "r").distinct()
     full = classes.select("cid", "words").join(parts.where("form = 0"), "cid")

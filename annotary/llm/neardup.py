@@ -57,39 +57,61 @@ def classes_of(rows: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     return classes.select("cid", "words"), members
 
 
-def _keys(trees: int, depth: int, seed: int = 7):
+def _signatures(batches: Iterator[pa.RecordBatch], total: int, seed: int = 7) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Of ``(cid, hashes)`` in parts: cids, ``total`` mixed MinHash values a class, and 128 one-bit hashes in two words."""
+    draw = np.random.Generator(np.random.PCG64(seed))
+    mul = draw.integers(0, 2**63, total, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = draw.integers(0, 2**63, total, dtype=np.uint64)
+    weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            lists = batch.column("hashes")
+            starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
+            x = np.asarray(lists.flatten()).view(np.uint64)
+            x = x ^ (x >> np.uint64(32))
+            cid = np.asarray(batch.column("cid"))
+            low = np.empty((total, len(cid)), np.uint32)
+            for j in range(total):
+                low[j] = np.minimum.reduceat(((x * mul[j] + add[j]) >> np.uint64(32)).astype(np.uint32), starts)
+            mixed = low * np.uint32(2654435761)
+            bits = (mixed[:128] >> np.uint32(31)).astype(np.uint64)
+            yield cid, mixed, [(bits[k : k + 64] * weight[:, None]).sum(axis=0, dtype=np.uint64).view(np.int64) for k in (0, 64)]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cid, _, sketch in _signatures(batches, 128):
+        yield pa.RecordBatch.from_arrays([pa.array(cid), *map(pa.array, sketch)], ["cid", "s1", "s2"])
+
+
+def hashed_words(classes: DataFrame) -> DataFrame:
+    return spread(classes.select("cid", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")))
+
+
+def sketches(classes: DataFrame) -> DataFrame:
+    """``(cid, s1, s2)``: 128 one-bit MinHash values of each word set."""
+    return hashed_words(classes).mapInArrow(_sketches, "cid long, s1 long, s2 long")
+
+
+def agree(a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
+    """Whether two sketches agree as often as those of sets at the threshold do."""
+    return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2)) <= 128 - AGREE
+
+
+def _keys(trees: int, depth: int):
     """Rows of the forest: tree, first values, further values, class, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.random.Generator(np.random.PCG64(seed))
-        total = max(trees * depth, 128)
-        mul = draw.integers(0, 2**63, total, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        add = draw.integers(0, 2**63, total, dtype=np.uint64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                lists = batch.column("hashes")
-                starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
-                x = np.asarray(lists.flatten()).view(np.uint64)
-                # a multiply-shift hash needs well mixed words
-                x = x ^ (x >> np.uint64(32))
-                cid = np.asarray(batch.column("cid"))
-                low = np.empty((total, len(cid)), np.uint32)
-                for j in range(total):
-                    low[j] = np.minimum.reduceat(((x * mul[j] + add[j]) >> np.uint64(32)).astype(np.uint32), starts)
-                mixed = low * np.uint32(2654435761)
-                bits = (mixed[:128] >> np.uint32(31)).astype(np.uint64)
-                weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
-                sketch = [(bits[k : k + 64] * weight[:, None]).sum(axis=0, dtype=np.uint64).view(np.int64) for k in (0, 64)]
-                part = (mixed >> np.uint32(15)).astype(np.uint64) & np.uint64(0xFFFF)
-                for t in range(trees):
-                    v = part[t * depth : (t + 1) * depth]
-                    first = (v[0] << np.uint64(48)) | (v[1] << np.uint64(32)) | (v[2] << np.uint64(16)) | v[3]
-                    further = (v[4] << np.uint64(16)) | v[5]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(cid), t, np.int32)), pa.array(first.view(np.int64)), pa.array(further.view(np.int64)), pa.array(cid), *map(pa.array, sketch)],
-                        ["tree", "first", "further", "cid", "s1", "s2"],
-                    )
+        for cid, mixed, sketch in _signatures(batches, max(trees * depth, 128)):
+            part = (mixed >> np.uint32(15)).astype(np.uint64) & np.uint64(0xFFFF)
+            for t in range(trees):
+                v = part[t * depth : (t + 1) * depth]
+                first = (v[0] << np.uint64(48)) | (v[1] << np.uint64(32)) | (v[2] << np.uint64(16)) | v[3]
+                further = (v[4] << np.uint64(16)) | v[5]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(cid), t, np.int32)), pa.array(first.view(np.int64)), pa.array(further.view(np.int64)), pa.array(cid), *map(pa.array, sketch)],
+                    _FOREST,
+                )
 
     return run
 
@@ -191,8 +213,7 @@ def _block_pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def candidates(classes: DataFrame) -> DataFrame:
     """``(a, b)``: pairs of classes that the forest brings together, each once."""
-    hashed = spread(classes.select("cid", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")))
-    forest = hashed.mapInArrow(_keys(TREES, DEPTH), "tree int, first long, further long, cid long, s1 long, s2 long")
+    forest = hashed_words(classes).mapInArrow(_keys(TREES, DEPTH), "tree int, first long, further long, cid long, s1 long, s2 long")
     ordered = forest.repartition("tree", "first").sortWithinPartitions("tree", "first", "further", "cid")
     met = cut(ordered.mapInArrow(_neighbours, "a long, b long, tree long, first long, further long, cid long, s1 long, s2 long").distinct(), "neighbours")
     region = ["tree", "first", "further"]
