@@ -143,3 +143,16 @@ ORACLE = {
         eg AS (SELECT DISTINCT id AS item_id, hash(w[k:k+11]) AS h, w[k:k+11] AS g FROM e, unnest(range(1, len(w) - 10)) AS t(k))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (h, g)""",
 }
+_WORDSETS = _SETS.format(key="pmid", text="tiab", table="classified WHERE tiab IS NOT NULL AND pmid IS NOT NULL")
+ORACLE["p1_groups"] = f"""WITH RECURSIVE s AS ({_WORDSETS}), t AS (SELECT DISTINCT * FROM s WHERE len(w) >= 20),
+    c AS (SELECT w, count(*) AS copies FROM t GROUP BY w),
+    h AS (SELECT x.w AS w, y.w AS v, len(list_intersect(x.w, y.w)) AS i FROM c x JOIN c y ON x.w < y.w AND len(x.w) >= 0.7 * len(y.w) AND len(y.w) >= 0.7 * len(x.w)),
+    half AS (SELECT w, v FROM h WHERE i / (len(w) + len(v) - i) >= 0.7),
+    n AS (SELECT w, v FROM half UNION ALL SELECT v, w FROM half),
+    k AS (SELECT w, count(*) AS links FROM n GROUP BY w),
+    e AS (SELECT x.pmid AS a, y.pmid AS b FROM t x JOIN t y USING (w) UNION SELECT x.pmid, y.pmid FROM n JOIN t x USING (w) JOIN t y ON y.w = n.v),
+    ids AS (SELECT DISTINCT pmid FROM classified WHERE pmid IS NOT NULL),
+    r(id, other) AS (SELECT pmid, pmid FROM ids UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a),
+    g AS (SELECT id, min(other) AS group_id FROM r GROUP BY id),
+    m AS (SELECT pmid, max(copies) AS copies, CAST(sum(coalesce(links, 0)) AS BIGINT) AS links FROM t JOIN c USING (w) LEFT JOIN k USING (w) GROUP BY pmid)
+    SELECT pmid, group_id, coalesce(copies, 1) AS copies, coalesce(links, 0) AS links FROM ids JOIN g ON g.id = ids.pmid LEFT JOIN m USING (pmid)"""
