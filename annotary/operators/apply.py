@@ -116,7 +116,7 @@ def top_k(rows: DataFrame, key: list[str], labels: DataFrame, factory: Factory,
         passes[-1][-1].append(r["label"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema.fields)
     schema = f"{fields}, top5_cross array<struct<label:string,score:double>>"
-    dealt = spread(rows.select(*key, "text"))
+    dealt = spread(rows.select(*key, "text"), always=True)
     if not passes:
         return rows.select(*key, F.array().cast("array<struct<label:string,score:double>>").alias("top5_cross"))
     done = dealt.mapInPandas(_scored(factory, spark.sparkContext.broadcast(passes[0]), k, chunk), schema)

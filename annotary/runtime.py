@@ -70,11 +70,16 @@ def release(spark: SparkSession) -> int:
     return len(mine)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, always: bool = False) -> DataFrame:
     """At least as many partitions as the cluster has cores, for CPU-heavy maps.
 
-    A scan of a few files can have fewer tasks than cores; then the rows are dealt out evenly."""
-    want = df.sparkSession.sparkContext.defaultParallelism
+    A scan of a few files can have fewer tasks than cores; then the rows are dealt out evenly.
+    Behind a shuffle the partitions are known only by running it, and adaptive execution makes
+    them few where rows are small: ``always`` deals those out too."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df.repartition(max(want, int(spark.conf.get("spark.sql.shuffle.partitions")))) if always else df
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
