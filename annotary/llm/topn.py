@@ -42,9 +42,9 @@ def top_n(rows: DataFrame, n: int = 5, heavy_parts: int = HEAVY_PARTS) -> DataFr
 
     ``first_id`` is the least id among all rows of the group."""
     counted = cut(rows.where("group is not null").groupBy("group").agg(F.count("*").alias("n"), F.min("id").alias("first_id")), "groups")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).head()["total"]
     # fewer than heavy_parts rows, whatever the table's size
-    heavy = F.broadcast(counted.crossJoin(F.broadcast(total)).where(F.col("n") * heavy_parts > F.col("total")).select("group", F.lit(True).alias("hot")))
+    heavy = F.broadcast(counted.where(F.col("n") * heavy_parts > total).select("group"))
     lists = rows.where("group is not null and size(items) > 0").select("group", "items")
     rank = Window.partitionBy("group").orderBy(F.col("score").desc(), F.col("label"))
     cold = (
