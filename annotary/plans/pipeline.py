@@ -498,6 +498,9 @@ def incremental_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     schema = table(spark, sf_dir, "events").schema
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # the table is one file of the data folder, or a folder of files
+    one = f"{os.path.abspath(sf_dir)}/events.parquet"
+    source, pattern = (one, "*.parquet") if os.path.isdir(one) else (os.path.dirname(one), "events.parquet")
     for _ in range(2):
-        run_new(spark, os.path.abspath(sf_dir), schema, f"{base}/out", f"{base}/checkpoint", lambda b: b.select("event_type", "event_id"), pattern="events.parquet")
+        run_new(spark, source, schema, f"{base}/out", f"{base}/checkpoint", lambda b: b.select("event_type", "event_id"), pattern=pattern)
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
