@@ -1,4 +1,4 @@
-"""From model answers to validated mappings, as one lazy plan.
+"""From model answers to validated mappings.
 
 Ontology and gene tables are joined without hints: Spark broadcasts them where their size
 allows. Shuffles on the large side are those of genes per pmid and the join with it.
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annotary.functions import text as X
+from annotary.runtime import cut
 
 
 def confident(rows: DataFrame, least: float = 0.9, prefix: str = "G2P") -> DataFrame:
@@ -73,11 +74,16 @@ def final_mapping(
 
     Adds ``gene_symbols``, ``dis_map_gene``, ``dis_map_name`` and ``dis_map_correct_gene_all``, 1 in all rows kept;
     ``all_rows`` keeps those with 0 too."""
-    known = valid_ids(confident(answers, least), key, ontology)
+    # written once: the lookup and the result both start from it
+    known = cut(valid_ids(confident(answers, least), key, ontology), "known")
     none = F.array().cast("array<string>")
-    full = known.join(genes_per_article(mentions, genes), "pmid", "left")
-    for column, out in (("gene_symbol", "dis_map_gene"), ("disease_name", "dis_map_name")):
-        full = full.join(mapped_names(known, key, names_per_id(ontology, column, null_text), out), key, "left").withColumn(out, F.coalesce(out, none))
+    genes_of, names_of = (names_per_id(ontology, c, null_text).withColumnRenamed("names", c) for c in ("gene_symbol", "disease_name"))
+    ids = known.select(*key, F.posexplode(X.parse_ids(F.col("llm_dis_map"))).alias("pos", "id")).join(genes_of.join(names_of, "id", "full"), "id")
+    found = ids.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "gene_symbol", "disease_name"))).alias("n"))
+    flat = lambda c: F.array_distinct(F.flatten(F.filter(c, lambda x: x.isNotNull())))
+    found = found.select(*key, flat(F.col("n.gene_symbol")).alias("dis_map_gene"), flat(F.col("n.disease_name")).alias("dis_map_name"))
+    full = known.join(genes_per_article(mentions, genes), "pmid", "left").join(found, key, "left")
+    full = full.withColumns({c: F.coalesce(c, none) for c in ("dis_map_gene", "dis_map_name")})
     flag = X.subset(F.col("dis_map_gene"), F.col("gene_symbols")).cast("int")
     full = full.withColumn("dis_map_correct_gene_all", flag)
     return full if all_rows else full.where("dis_map_correct_gene_all = 1")
