@@ -86,16 +86,18 @@ def mine(spark: SparkSession, a: argparse.Namespace) -> int | None:
     pairs = spark.read.schema(schemas.ANNOTATED).parquet(a.train)
     pairs = pairs if a.all_labels else pairs.where("label = 1")
     names = ontology.labels(files.csv_with_missing(spark, a.g2p_csv, ["g2p id", *schemas.ONTOLOGY_COLUMNS[1:]]), "nan")
-    # an anchor and its positives share a group; other labels are groups of their own
+    # labels are ranked, texts are not; a positive that the ontology lacks is a label too
+    pairs = pairs.where("tiab is not null and g2p_lgmde is not null")
+    labels = names.select(F.col("g2p_lgmde").alias("t")).unionByName(pairs.select(F.col("g2p_lgmde").alias("t"))).distinct().withColumn("kind", F.lit(1))
     texts = pairs.select(F.col("tiab").alias("t")).distinct().withColumn("kind", F.lit(0))
-    every: DataFrame = ordering.number_rows(texts.unionByName(names.select(F.col("g2p_lgmde").alias("t")).withColumn("kind", F.lit(1))), ["kind", "t"], "id")
+    every: DataFrame = ordering.number_rows(texts.unionByName(labels), ["kind", "t"], "id")
     vectors = every.withColumn("v", embed(F.col("t"), model(a.model)))
-    own = pairs.select(F.col("tiab").alias("t"), "g2p_lgmde").join(every.where("kind = 0").select("t", F.col("id").alias("grp")), "t")
-    groups = own.join(every.where("kind = 1").select(F.col("t").alias("g2p_lgmde"), "id"), "g2p_lgmde").groupBy("id").agg(F.min("grp").alias("grp"))
-    grouped = vectors.join(groups, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
-    negatives = mining.hard_negatives(grouped, every.where("kind = 0"), a.max_score, a.relative_margin, a.range_min, a.range_max, a.num_negatives)
-    positive = own.join(every.where("kind = 1").select(F.col("t").alias("g2p_lgmde"), F.col("id").alias("cand")), "g2p_lgmde").select(F.col("grp").alias("anchor"), "cand")
-    out = mining.labeled_pairs(positive, negatives.join(every.where("kind = 1").select(F.col("id").alias("cand")), "cand", "left_semi"))
+    ids = lambda kind, to, n: every.where(F.col("kind") == kind).select(F.col("t").alias(to), F.col("id").alias(n))
+    positive = pairs.join(ids(0, "tiab", "anchor"), "tiab").join(ids(1, "g2p_lgmde", "cand"), "g2p_lgmde").select("anchor", "cand")
+    negatives = mining.hard_negatives(
+        vectors.where("kind = 1"), vectors.where("kind = 0"), a.max_score, a.relative_margin, a.range_min, a.range_max, a.num_negatives, positives=positive
+    )
+    out = mining.labeled_pairs(positive, negatives)
     text = lambda n, to: every.select(F.col("id").alias(n), F.col("t").alias(to))
     return write(out.join(text("anchor", "tiab"), "anchor").join(text("cand", "g2p_lgmde"), "cand").select("tiab", "g2p_lgmde", "label"), a.out)
 

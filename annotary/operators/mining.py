@@ -1,6 +1,7 @@
 """Hard negatives by embedding similarity.
 
-Each anchor has its positives' best similarity. Other vectors qualify with a similarity of
+Positives are given as pairs, or are the other vectors of an anchor's group. Each anchor has
+its positives' best similarity. Other vectors qualify with a similarity of
 at most ``max_score`` and at most the positive's times ``1 - margin``; the first
 ``range_min`` of them are passed over, ``range_max`` bounds the rank, the next ``n`` are
 taken. Both bounds are inclusive, ties go to the smaller id.
@@ -29,24 +30,37 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def _positives(block):
-    ids, groups, unit = block.value
+def _own(block, pdf: pd.DataFrame) -> np.ndarray:
+    """Which of a batch's vectors are positives of which anchors of the block."""
+    cand = pdf["id"].to_numpy()
+    if block["pairs"] is None:
+        return (block["groups"][:, None] == pdf["grp"].to_numpy()[None, :]) & (block["ids"][:, None] != cand[None, :])
+    at, of = block["pairs"]  # ordered by candidate
+    own = np.zeros((len(block["ids"]), len(cand)), bool)
+    for j, (a, b) in enumerate(zip(np.searchsorted(of, cand, "left"), np.searchsorted(of, cand, "right"))):
+        own[at[a:b], j] = True
+    return own
+
+
+def _positives(shared):
+    block = shared.value
+    ids, unit = block["ids"], block["unit"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = np.full(len(ids), -np.inf)
         for pdf in batches:
             if len(pdf):
                 sims = unit @ _unit(pdf["v"]).T
-                own = (groups[:, None] == pdf["grp"].to_numpy()[None, :]) & (ids[:, None] != pdf["id"].to_numpy()[None, :])
-                best = np.maximum(best, np.where(own, sims, -np.inf).max(axis=1))
+                best = np.maximum(best, np.where(_own(block, pdf), sims, -np.inf).max(axis=1))
         some = best > -np.inf
         yield pd.DataFrame({"anchor": ids[some], "pos": best[some]})
 
     return run
 
 
-def _negatives(block, most: int):
-    ids, groups, unit, limit = block.value
+def _negatives(shared, most: int):
+    block = shared.value
+    ids, unit, limit = block["ids"], block["unit"], block["limit"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list[tuple[float, int]]] = [[] for _ in ids]
@@ -55,7 +69,7 @@ def _negatives(block, most: int):
                 continue
             sims = unit @ _unit(pdf["v"]).T
             cand = pdf["id"].to_numpy()
-            ok = (groups[:, None] != pdf["grp"].to_numpy()[None, :]) & (sims <= limit[:, None])
+            ok = ~_own(block, pdf) & (ids[:, None] != cand[None, :]) & (sims <= limit[:, None])
             for i in range(len(ids)):
                 at = np.flatnonzero(ok[i])
                 at = at[np.lexsort((cand[at], -sims[i, at]))][:most]
@@ -67,25 +81,42 @@ def _negatives(block, most: int):
 
 
 def hard_negatives(
-    vectors: DataFrame, anchors: DataFrame, max_score: float = 0.95, margin: float = 0.01, range_min: int = 5, range_max: int = 50, n: int = 5
+    vectors: DataFrame,
+    anchors: DataFrame,
+    max_score: float = 0.95,
+    margin: float = 0.01,
+    range_min: int = 5,
+    range_max: int = 50,
+    n: int = 5,
+    positives: DataFrame | None = None,
 ) -> DataFrame:
     """``(anchor, cand, rnk)`` for ``anchors(id)`` among ``vectors(id, grp, v)``; one group's vectors are positives of each other.
 
+    With ``positives(anchor, cand)`` those pairs count in place of groups, the corpus is
+    ``vectors(id, v)`` and the anchors, ``anchors(id, v)``, need not be in it.
     Anchors without a positive have no negatives. Null vectors are left out."""
     spark = vectors.sparkSession
-    corpus = spread(vectors.where("id is not null and grp is not null and v is not null").select("id", "grp", "v"))
-    chosen = corpus.join(anchors.select("id").distinct(), "id", "left_semi")
+    if positives is None:
+        corpus = spread(vectors.where("id is not null and grp is not null and v is not null").select("id", "grp", "v"))
+        chosen = corpus.join(anchors.select("id").distinct(), "id", "left_semi")
+    else:
+        corpus = spread(vectors.where("id is not null and v is not null").select("id", "v"))
+        own = positives.groupBy(F.col("anchor").alias("id")).agg(F.collect_set("cand").alias("own"))
+        chosen = anchors.where("v is not null").select("id", "v").dropDuplicates(["id"]).join(own, "id")
     out = []
     rows: list = []
 
-    def passes(block: list) -> None:
-        ids, groups = (np.array([r[k] for r in block]) for k in ("id", "grp"))
-        unit = _unit(pd.Series([r["v"] for r in block]))
-        best = corpus.mapInPandas(_positives(spark.sparkContext.broadcast((ids, groups, unit))), "anchor long, pos double")
+    def passes(rows: list) -> None:
+        block = {"ids": np.array([r["id"] for r in rows]), "unit": _unit(pd.Series([r["v"] for r in rows])), "pairs": None}
+        if positives is None:
+            block["groups"] = np.array([r["grp"] for r in rows])
+        else:
+            pairs = np.array(sorted((c, i) for i, r in enumerate(rows) for c in r["own"]), np.int64).reshape(-1, 2)
+            block["pairs"] = pairs[:, 1], pairs[:, 0]
+        best = corpus.mapInPandas(_positives(spark.sparkContext.broadcast(block)), "anchor long, pos double")
         pos = {r["anchor"]: r["p"] for r in best.groupBy("anchor").agg(F.max("pos").alias("p")).collect()}  # at most BLOCK rows
-        limit = np.array([min(max_score, pos[i] * (1 - margin)) if i in pos else -np.inf for i in ids.tolist()])
-        most = range_max
-        out.append(corpus.mapInPandas(_negatives(spark.sparkContext.broadcast((ids, groups, unit, limit)), most), "anchor long, cand long, sim double"))
+        block = block | {"limit": np.array([min(max_score, pos[i] * (1 - margin)) if i in pos else -np.inf for i in block["ids"].tolist()])}
+        out.append(corpus.mapInPandas(_negatives(spark.sparkContext.broadcast(block), range_max), "anchor long, cand long, sim double"))
 
     for r in chosen.toLocalIterator():
         rows.append(r)

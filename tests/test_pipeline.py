@@ -2,9 +2,11 @@
 
 import gzip
 
+import numpy as np
 import pytest
 
 from annotary import cli
+from annotary.models.scorers import HashEmbedder
 from annotary.schemas import ONTOLOGY_COLUMNS
 from test_sources import article
 
@@ -72,3 +74,24 @@ def test_split_and_mine(spark, inputs):
     n = run(spark, "mine", "--train", p / "train", "--g2p_csv", p / "g2p.csv", "--out", p / "hard", "--range_min", 1, "--num_negatives", 3)
     got = spark.read.parquet(str(p / "hard"))
     assert n == got.count() and got.where("label = 1").count() == 1 and 1 <= got.where("label = 0").count() <= 3
+
+
+def test_mine_with_shared_and_several_labels(spark, inputs):
+    """One label of three texts, one text of two labels, one label that the ontology lacks, against brute force over labels."""
+    p = inputs
+    label = lambda i, gene, name: " - ".join([f"G2P{i}", gene, "nan", "nan", "nan", name, *["nan"] * 9])
+    red, blue, other = label(1, "ABC1", "red syndrome"), label(2, "DEF2", "blue syndrome"), label(99, "LOST", "grey syndrome")
+    pairs = [("red syndrome of ABC1", red), ("ABC1 and the red syndrome", red), ("red and blue syndrome in ABC1 or DEF2", red), ("red and blue syndrome in ABC1 or DEF2", blue), ("LOST grey syndrome", other)]
+    spark.createDataFrame([(*x, 1) for x in pairs] + [("red syndrome of ABC1", blue, 0), (None, red, 1)], "tiab string, g2p_lgmde string, label int").write.parquet(str(p / "train"))
+    run(spark, "mine", "--train", p / "train", "--g2p_csv", p / "g2p.csv", "--out", p / "hard", "--range_min", 1, "--num_negatives", 3)
+    got = sorted((r["tiab"], r["g2p_lgmde"], r["label"]) for r in spark.read.parquet(str(p / "hard")).collect())
+    every = sorted({red, blue, other, *(label(i, f"X{i}", f"other {i}") for i in range(3, 30))})
+    unit = lambda t: (lambda v: v / np.linalg.norm(v))(HashEmbedder().embed([t])[0])
+    want = [(*x, 1) for x in pairs]
+    for text in {t for t, _ in pairs}:
+        sims = {x: float(unit(text) @ unit(x)) for x in every}
+        own = {x for t, x in pairs if t == text}
+        limit = min(0.95, max(sims[x] for x in own) * 0.99)
+        ranked = sorted((-s, x) for x, s in sims.items() if x not in own and s <= limit)
+        want += [(text, x, 0) for _, x in ranked[1:4]]
+    assert got == sorted(want) and len(want) == len(pairs) + 4 * 3
