@@ -28,7 +28,7 @@ def model(path: str) -> scorers.Factory:
 
 
 def to_parquet(spark: SparkSession, a: argparse.Namespace) -> int | None:
-    """XML files to article tables; files with a bad row are set apart."""
+    """XML files to article tables; unreadable files and bad rows are set apart, with --no-rows_only all rows of a file with a bad one."""
     good, bad = xml.quarantine(xml.read_articles(spark, a.input), whole_files=not a.rows_only)
     write(bad.select("source_file", "pmid").distinct(), f"{a.out}_quarantine")
     return write(good, a.out, by=["source_stem"], skip_if_exists=a.skip_if_exists)
@@ -120,7 +120,7 @@ def parser() -> argparse.ArgumentParser:
             else:
                 p.add_argument(flag, type=type(v), default=v)
 
-    stage("to-parquet", to_parquet, input=..., out=..., rows_only=False, skip_if_exists=True)
+    stage("to-parquet", to_parquet, input=..., out=..., rows_only=True, skip_if_exists=True)
     stage("classify", classify, input=..., out="bert_processed", model="RuleClassifier", shard=0, num_shards=1, skip_if_exists=True)
     stage("positives", positives, processed_dir="bert_processed", out_path="pubmed_bert_positive.parquet")
     stage(

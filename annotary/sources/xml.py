@@ -6,6 +6,12 @@ lose the order of its parts. Declared as text, inner markup stays and is removed
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +38,8 @@ _SCHEMA = _struct(
     ),
     _corrupt=_S,
 )
+#: Bytes unpacked at a time.
+_STEP = 1 << 20
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
 
 
@@ -43,14 +51,86 @@ def _plain(c: Column) -> Column:
     return strip(c)
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
+def _is_whole(name: str, content: bytes) -> bool:
+    """Whether a file can be unpacked, checksums included, and parsed to its end."""
+    parser = expat.ParserCreate()
+    try:
+        if not name.endswith(".gz"):
+            parser.Parse(content, True)
+            return True
+        rest = memoryview(content)
+        while len(rest):  # a gzip file may have several members
+            member = zlib.decompressobj(wbits=31)
+            chunk = rest
+            while not member.eof:
+                part = member.decompress(chunk, _STEP)
+                parser.Parse(part, False)
+                chunk = member.unconsumed_tail
+                if not part and not chunk and not member.eof:
+                    return False
+            rest = rest[len(rest) - len(member.unused_data) :]
+        parser.Parse(b"", True)
+        return True
+    except (zlib.error, expat.ExpatError, ValueError):
+        return False
+
+
+def _read_through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        whole = [_is_whole(p, c) for p, c in zip(pdf["path"], pdf["content"])]
+        yield pd.DataFrame({"path": pdf["path"], "whole": pd.Series(whole, dtype=bool)})
+
+
+def check_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, bool]]:
+    """Each file's path and whether it can be read to its end."""
+    if not paths:
+        return []
+    found = spark.read.format("binaryFile").load([_escaped(p) for p in paths]).select("path", "content")
+    whole = {r["path"]: r["whole"] for r in found.mapInPandas(_read_through, "path string, whole boolean").collect()}
+    return [(p, whole.get(p, False)) for p in paths]  # a scan leaves empty files out
+
+
+def _escaped(path: str) -> str:
+    """A path that is no pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def xml_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the XML files, packed or not, of a folder or pattern."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(at) or [])
+    if not found:
+        raise FileNotFoundError(path)
+    listed = [x for f in found for x in (fs.listStatus(f.getPath()) if f.isDirectory() else [f])]
+    return sorted(x.getPath().toString() for x in listed if x.isFile() and re.search(r"^[^._].*\.xml(\.gz)?$", x.getPath().getName()))
+
+
+def read_articles(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(pmid, title, abstract, languages, pubdate, journal, source_file, source_stem, bad_row)`` of ``*.xml.gz`` files.
 
-    ``bad_row`` is set where the record is broken or its year cannot be read."""
-    raw = spark.read.format("xml").schema(_SCHEMA).options(rowTag="PubmedArticle", columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", ignoreCorruptFiles=True).load(path)
-    meta = raw.metadataColumn("_metadata")["file_path"]
+    ``bad_row`` is set where the record is broken or its year cannot be read. A file that cannot be read to its end
+    gives no record, only one bad row with its name. Files are read through once before, in tasks of their own, so that
+    an error while records are read is an error of the run and never a shorter table."""
+    checked = check_files(spark, path if isinstance(path, list) else xml_files(spark, path))
+    rows = _records(spark, [p for p, whole in checked if whole])
+    lost = [(p,) for p, whole in checked if not whole]
+    if not lost:
+        return rows
+    broken = spark.createDataFrame(lost, "path string").select(basename(F.col("path")).alias("source_file"), stem(F.col("path")).alias("source_stem"), F.lit(True).alias("bad_row"))
+    return rows.unionByName(broken, allowMissingColumns=True)
+
+
+def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], "pmid long, title string, abstract string, languages string, pubdate int, journal string, source_file string, source_stem string, bad_row boolean")
+    options = {"rowTag": "PubmedArticle", "columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE", "ignoreCorruptFiles": False, "ignoreMissingFiles": False}
+    raw = spark.read.format("xml").schema(_SCHEMA).options(**options).load([_escaped(p) for p in paths])
+    # the metadata's path is a URI; the file's own name counts
+    meta = F.url_decode(F.replace(raw.metadataColumn("_metadata")["file_path"], F.lit("+"), F.lit("%2B")))
     a = "MedlineCitation.Article"
-    date = F.coalesce(F.col(f"{a}.Journal.JournalIssue.PubDate.Year"), F.col(f"{a}.Journal.JournalIssue.PubDate.MedlineDate"))
+    # a date in words ('1998 Dec-1999 Jan', 'Spring 2000') has its year in its first four digits
+    date = F.coalesce(F.col(f"{a}.Journal.JournalIssue.PubDate.Year"), F.regexp_extract(f"{a}.Journal.JournalIssue.PubDate.MedlineDate", r"\d{4}", 0))
     rows = raw.select(
         F.regexp_extract("MedlineCitation.PMID", r"(\d+)\s*(?:</|$)", 1).try_cast("bigint").alias("pmid"),
         _plain(F.col(f"{a}.ArticleTitle")).alias("title"),

@@ -95,3 +95,13 @@ def test_mine_with_shared_and_several_labels(spark, inputs):
         ranked = sorted((-s, x) for x, s in sims.items() if x not in own and s <= limit)
         want += [(text, x, 0) for _, x in ranked[1:4]]
     assert got == sorted(want) and len(want) == len(pairs) + 4 * 3
+
+
+def test_bad_rows_leave_the_rest_of_a_file(spark, inputs):
+    p = inputs
+    with gzip.open(p / "xml" / "b.xml.gz", "wt") as f:
+        f.write("<PubmedArticleSet>" + article(4, "T", ["A"], "<Year>2001</Year>") + article(5, "T", ["A"], "<Season>Spring</Season>") + "</PubmedArticleSet>")
+    (p / "xml" / "c.xml.gz").write_bytes((p / "xml" / "b.xml.gz").read_bytes()[:-30])
+    assert run(spark, "to-parquet", "--input", p / "xml", "--out", p / "art") == 4
+    assert sorted((r["source_file"], r["pmid"]) for r in spark.read.parquet(str(p / "art_quarantine")).collect()) == [("b.xml.gz", 5), ("c.xml.gz", None)]
+    assert run(spark, "to-parquet", "--input", p / "xml", "--out", p / "strict", "--no-rows_only") == 3

@@ -43,6 +43,40 @@ def test_xml(spark, xml_dir):
     assert {r["pmid"] for r in good.collect()} == {1, 2, 3} and {r["pmid"] for r in bad.collect()} == {4}
 
 
+def test_unreadable_files(spark, tmp_path):
+    """Files cut short, damaged or not well-formed give no row but an entry; whole ones next to them keep all of theirs."""
+    year = "<Year>2001</Year>"
+    parts = [article(i, f"T{i * 7919 % 10007}", [str(i * i)], year) for i in range(3000)]
+    packed = lambda x: gzip.compress(("<PubmedArticleSet>" + "".join(x) + "</PubmedArticleSet>").encode())
+    whole = packed(parts)
+    damaged = bytearray(packed(parts[:50]))
+    damaged[-6] ^= 0xFF  # checksum
+    files = {
+        "cut": whole[: len(whole) * 6 // 10], "sum": bytes(damaged), "none": b"", "text": b"no gzip at all", "tag": packed(["".join(parts[:9]), "<PubmedArticle><MedlineCitation>"]),
+        "two": gzip.compress(b"<PubmedArticleSet>") + gzip.compress((parts[1] + "</PubmedArticleSet>").encode()), "odd [1] {x}": packed(parts[2:4]),
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.xml.gz").write_bytes(data)
+    (tmp_path / "cut.xml.gz.md5").write_text("x")
+    for whole_files in (True, False):
+        good, bad = quarantine(read_articles(spark, str(tmp_path)), whole_files)
+        assert sorted((r["source_stem"], r["pmid"]) for r in good.collect()) == [("odd [1] {x}", 2), ("odd [1] {x}", 3), ("two", 1)]
+        assert sorted((r["source_file"], r["pmid"]) for r in bad.collect()) == [(f"{x}.xml.gz", None) for x in ("cut", "none", "sum", "tag", "text")]
+    only = tmp_path / "only"
+    only.mkdir()
+    (only / "cut.xml.gz").write_bytes(files["cut"])
+    good, bad = quarantine(read_articles(spark, str(only)), False)
+    assert good.count() == 0 and bad.count() == 1
+
+
+def test_dates_in_words(spark, tmp_path):
+    dates = ["1998 Dec-1999 Jan", "2000 Spring", "Spring 2000", "1999-2000", "no year"]
+    with gzip.open(tmp_path / "d.xml.gz", "wt") as f:
+        f.write("<PubmedArticleSet>" + "".join(article(i, "T", ["A"], f"<MedlineDate>{d}</MedlineDate>") for i, d in enumerate(dates)) + "</PubmedArticleSet>")
+    got = {r["pmid"]: (r["pubdate"], r["bad_row"]) for r in read_articles(spark, str(tmp_path)).collect()}
+    assert got == {0: (1998, False), 1: (2000, False), 2: (2000, False), 3: (1999, False), 4: (None, True)}
+
+
 def test_csv(spark, tmp_path):
     path = tmp_path / "o.csv"
     path.write_text('a,b\n"x, ""y""",\nNA,nan\n')
