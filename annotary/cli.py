@@ -17,7 +17,7 @@ from annotary.models import scorers
 from annotary.operators import mining, ontology, ordering, splits, stages, validate
 from annotary.operators.apply import embed, top_k
 from annotary.functions.text import max_score
-from annotary.sinks.files import shard_name, write
+from annotary.sinks.files import done, note_done, shard_name, write, write_new
 from annotary.sources import files, xml
 
 
@@ -29,22 +29,44 @@ def model(path: str) -> scorers.Factory:
 
 def to_parquet(spark: SparkSession, a: argparse.Namespace) -> int | None:
     """XML files to article tables; unreadable files and bad rows are set apart, with --no-rows_only all rows of a file with a bad one."""
-    good, bad = xml.quarantine(xml.read_articles(spark, a.input), whole_files=not a.rows_only)
-    write(bad.select("source_file", "pmid").distinct(), f"{a.out}_quarantine")
-    return write(good, a.out, by=["source_stem"], skip_if_exists=a.skip_if_exists)
+    names = {p: p.rsplit("/", 1)[-1] for p in xml.xml_files(spark, a.input)}
+    before = done(spark, a.out) if a.skip_if_exists else set()
+    # files of one stem share a partition and are taken together
+    stems = {xml.file_stem(n) for n in names.values() if n not in before}
+    new = {p: n for p, n in names.items() if xml.file_stem(n) in stems}
+    if not new:
+        return None
+    checked = xml.check_files(spark, list(new))
+    good, bad = xml.quarantine(xml.read_articles(spark, a.input, checked), whole_files=not a.rows_only)
+    write_new(bad.select("source_file", "pmid").distinct(), f"{a.out}_quarantine", "source_file", new.values())
+    n = write_new(good, a.out, "source_stem", stems)
+    # a file that is set apart whole is tried again, it may have been replaced
+    apart = {new[p] for p, whole in checked if not whole}
+    if not a.rows_only:
+        apart |= {r["source_file"] for r in spark.read.schema("pmid long, source_file string").parquet(f"{a.out}_quarantine").select("source_file").distinct().collect()}
+    note_done(spark, a.out, set(new.values()) - apart)
+    return n
 
 
 def classify(spark: SparkSession, a: argparse.Namespace) -> int | None:
-    rows = spark.read.parquet(a.input)
-    if a.num_shards > 1:
-        name = F.element_at(F.split(rows.metadataColumn("_metadata")["file_path"], "/"), -1)
-        rows = rows.withColumn("path", name)
-        rows = rows.join(ordering.file_shard(rows.select("path").distinct(), a.shard, a.num_shards), "path", "left_semi").drop("path")
-    return write(stages.classified(rows, model(a.model)), a.out, skip_if_exists=a.skip_if_exists)
+    """Eligible articles with their class; those of each source or file are a partition ``input_part`` of the output."""
+    base, names = files.parquet_files(spark, a.input)
+    parts = sorted({files.input_part(n) for n in names})
+    if a.num_shards > 1 and parts:
+        every = spark.createDataFrame([(n,) for n in parts], "path string")
+        parts = [r["path"] for r in ordering.file_shard(every, a.shard, a.num_shards).collect()]
+    before = done(spark, a.out) if a.skip_if_exists else set()
+    new = set(parts) - before
+    if not new:
+        return None
+    rows = files.some_parquet(spark, base, [n for n in names if files.input_part(n) in new], "input_part")
+    n = write_new(stages.classified(rows, model(a.model)), a.out, "input_part", new)
+    note_done(spark, a.out, new)
+    return n
 
 
 def positives(spark: SparkSession, a: argparse.Namespace) -> int | None:
-    return write(stages.positives(spark.read.parquet(a.processed_dir)), a.out_path)
+    return write(stages.positives(spark.read.parquet(a.processed_dir)).drop("input_part"), a.out_path)
 
 
 def cross_score(spark: SparkSession, a: argparse.Namespace) -> int | None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,37 @@ def write(df: DataFrame, path: str, by: list[str] | None = None, compression: st
     return seen.get["n"]
 
 
+def done(spark: SparkSession, path: str) -> set[str]:
+    """Keys of the inputs that finished runs have taken to ``path``."""
+    if not _exists(spark, f"{path}_done"):
+        return set()
+    return {r["key"] for r in spark.read.schema("key string").parquet(f"{path}_done").select("key").collect()}
+
+
+def write_new(df: DataFrame, path: str, by: str, keys: Iterable[str], compression: str = "zstd") -> int:
+    """Write the partitions ``by`` of inputs ``keys`` beside those of other inputs, and return the number of rows.
+
+    What an unfinished or earlier run left of the same inputs goes first, so an input is there once. Runs that take
+    different inputs may work at the same time."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for k in keys:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(at, f"{by}={escaped(k)}"), True)
+    seen = Observation("written")
+    out = df.drop("__index_level_0__").observe(seen, F.count(F.lit(1)).alias("n")).write.options(compression=compression, partitionOverwriteMode="dynamic")
+    out.mode("overwrite").partitionBy(by).parquet(path)
+    return seen.get["n"]
+
+
+def note_done(spark: SparkSession, path: str, keys: set[str]) -> None:
+    """Note inputs as taken to ``path``; call it when all that belongs to them is written."""
+    if keys:
+        spark.createDataFrame([(k,) for k in sorted(keys)], "key string").coalesce(1).write.parquet(f"{path}_done/run={uuid.uuid4().hex}")
+
+
 def shard_name(stem: str, shard: int, shards: int) -> str:
     """Name of a worker's output."""
     return f"{stem}_crossencoded_shard{shard}-of-{shards}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,52 @@ def parquet_dir(spark: SparkSession, path: str, schema: T.StructType, pattern: s
     return rows.withColumn("source_file", basename(rows.metadataColumn("_metadata")["file_path"]))
 
 
+def parquet_files(spark: SparkSession, path: str) -> tuple[str, list[str]]:
+    """A base folder and, as paths within it, all Parquet files of a folder and its partitions, of a pattern, or the one file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    left = list(fs.globStatus(at) or [])
+    if not left:
+        raise FileNotFoundError(path)
+    base = fs.makeQualified(at)
+    if left[0].getPath() != base or left[0].isFile():  # a pattern or a file
+        base = base.getParent()
+        while re.search(r"[\[{*?]", base.toString()):
+            base = base.getParent()
+    found = []
+    while left:
+        x = left.pop()
+        name = x.getPath().getName()
+        if x.isDirectory():
+            inner = fs.listStatus(x.getPath())
+            left += [y for y in inner if y.getPath().getName()[0] not in "._" and (y.isDirectory() or y.getPath().getName().endswith(".parquet"))]
+        elif x.getLen():
+            found.append(x.getPath().toString()[len(base.toString().rstrip("/")) + 1 :])
+    return base.toString(), sorted(found)
+
+
+_PART_OF = r"((?:^|/)source_stem=[^/]*)/[^/]*$"
+
+
+def input_part(name: str) -> str:
+    """What is taken at once: all files of one source where they are partitioned by it (written anew, they get other names), else the file."""
+    return re.sub(_PART_OF, r"\1", name)
+
+
+def some_parquet(spark: SparkSession, base: str, names: list[str], column: str) -> DataFrame:
+    """The rows of some files of a Parquet folder, with their ``input_part`` in ``column``."""
+    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f"{base}/{n}") for n in names]
+    reader = spark.read.option("basePath", base)
+    # a stem of digits stays a text
+    schema = [T.StructField(f.name, T.StringType()) if f.name == "source_stem" else f for f in reader.parquet(*paths).schema]
+    rows = reader.schema(T.StructType(schema)).parquet(*paths)
+    # the metadata's path is a URI
+    plain = F.url_decode(F.replace(rows.metadataColumn("_metadata")["file_path"], F.lit("+"), F.lit("%2B")))
+    start = len(re.sub(r"^[A-Za-z][\w+.-]*:/*", "", base).rstrip("/"))
+    name = F.regexp_replace(plain, r"^[A-Za-z][\w+.-]*:/*", "").substr(F.lit(start + 2), F.length(plain))
+    return rows.withColumn(column, F.regexp_replace(name, _PART_OF, "$1"))
+
+
 def _csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True, enforceSchema=False).csv(path)

@@ -106,13 +106,20 @@ def xml_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().toString() for x in listed if x.isFile() and re.search(r"^[^._].*\.xml(\.gz)?$", x.getPath().getName()))
 
 
-def read_articles(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def file_stem(name: str) -> str:
+    """A file name without its last two extensions, as in ``source_stem``."""
+    return re.sub(r"(?s)(?<=.)\.[^.]*$", "", re.sub(r"(?s)(?<=.)\.[^.]*$", "", name))
+
+
+def read_articles(spark: SparkSession, path: str, checked: list[tuple[str, bool]] | None = None) -> DataFrame:
     """``(pmid, title, abstract, languages, pubdate, journal, source_file, source_stem, bad_row)`` of ``*.xml.gz`` files.
 
     ``bad_row`` is set where the record is broken or its year cannot be read. A file that cannot be read to its end
     gives no record, only one bad row with its name. Files are read through once before, in tasks of their own, so that
-    an error while records are read is an error of the run and never a shorter table."""
-    checked = check_files(spark, path if isinstance(path, list) else xml_files(spark, path))
+    an error while records are read is an error of the run and never a shorter table. ``checked`` gives the files where
+    that is done and not all of ``path`` are wanted."""
+    if checked is None:
+        checked = check_files(spark, xml_files(spark, path))
     rows = _records(spark, [p for p, whole in checked if whole])
     lost = [(p,) for p, whole in checked if not whole]
     if not lost:

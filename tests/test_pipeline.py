@@ -1,6 +1,7 @@
 """The command line, stage after stage, with stand-in models."""
 
 import gzip
+import shutil
 
 import numpy as np
 import pytest
@@ -105,3 +106,43 @@ def test_bad_rows_leave_the_rest_of_a_file(spark, inputs):
     assert run(spark, "to-parquet", "--input", p / "xml", "--out", p / "art") == 4
     assert sorted((r["source_file"], r["pmid"]) for r in spark.read.parquet(str(p / "art_quarantine")).collect()) == [("b.xml.gz", 5), ("c.xml.gz", None)]
     assert run(spark, "to-parquet", "--input", p / "xml", "--out", p / "strict", "--no-rows_only") == 3
+
+
+def test_second_run_takes_new_files(spark, inputs):
+    """Files that were taken are not taken again, new ones are, and the first outputs stay."""
+    p = inputs
+    read = lambda name: spark.read.parquet(str(p / name))
+    to, to_class = ("to-parquet", "--input", p / "xml", "--out", p / "art"), ("classify", "--input", p / "art", "--out", p / "cls")
+    assert run(spark, *to) == 3 and run(spark, *to_class) == 3
+    with gzip.open(p / "xml" / "b [2].xml.gz", "wt") as f:
+        f.write("<PubmedArticleSet>" + article(4, "Gene", ["A"], "<Year>2001</Year>") + article(5, "T", ["A"], "<Season>Spring</Season>") + "</PubmedArticleSet>")
+    (p / "xml" / "c.xml.gz").write_bytes(b"broken")
+    assert run(spark, *to) == 1 and run(spark, *to_class) == 1
+    assert run(spark, *to) == 0 and run(spark, *to_class) is None  # the broken file is tried again
+    for name in ("art", "cls"):
+        assert sorted((r["pmid"], r["source_stem"]) for r in read(name).collect()) == [(1, "a"), (2, "a"), (3, "a"), (4, "b [2]")]
+    assert sorted((r["source_file"], r["pmid"]) for r in read("art_quarantine").collect()) == [("b [2].xml.gz", 5), ("c.xml.gz", None)]
+    (p / "xml" / "c.xml.gz").write_bytes(gzip.compress(b"<PubmedArticleSet></PubmedArticleSet>"))
+    assert [run(spark, *to) for _ in (0, 1)] == [0, None] and read("art_quarantine").count() == 1
+    (p / "xml" / "c.xml.gz").write_bytes(b"broken")
+    # all again: the same rows, once
+    assert run(spark, *to, "--no-skip_if_exists") == 4 and read("art").count() == 4 and read("art_quarantine").count() == 2
+    # a file that shares a stem with one that was taken
+    (p / "xml" / "a.xml").write_text("<PubmedArticleSet>" + article(6, "T", ["A"], "<Year>2001</Year>") + "</PubmedArticleSet>")
+    assert run(spark, *to) == 4 and read("art").count() == 5
+    # a run that ended between its table and its note is repeated without doubling
+    shutil.rmtree(p / "cls_done")
+    assert run(spark, *to_class) == 5 and sorted(r["pmid"] for r in read("cls").collect()) == [1, 2, 3, 4, 6]
+
+
+def test_unfinished_run_and_shards_into_one_output(spark, inputs):
+    p = inputs
+    for i in range(5):
+        spark.createDataFrame([(i, "Gene", "A", "eng", 2001)], "pmid long, title string, abstract string, languages string, pubdate int").coalesce(1).write.parquet(str(p / "in" / f"source_stem=00{i}"))
+    to = ("classify", "--input", p / "in", "--out", p / "cls", "--num_shards", 2)
+    assert [run(spark, *to, "--shard", i) for i in (0, 1, 0, 1)] == [3, 2, None, None]
+    shutil.rmtree(p / "cls_done")
+    assert run(spark, "classify", "--input", p / "in", "--out", p / "cls") == 5
+    assert sorted(r["pmid"] for r in spark.read.parquet(str(p / "cls")).collect()) == list(range(5))
+    assert run(spark, "positives", "--processed_dir", p / "cls", "--out_path", p / "pos") == 0
+    assert "input_part" not in spark.read.parquet(str(p / "pos")).columns
