@@ -56,3 +56,21 @@ def test_edits_move_near_cuts_only():
     a, b = {c for c, _ in C.chunks(tokens)}, {c for c, _ in C.chunks(edited)}
     assert len(a - b) <= 2 and sum(n for _, n in C.chunks(tokens)) == 2000
     assert max(n for _, n in C.chunks(["same"] * 1000)) <= C.MOST_WORDS and C.chunks([]) == []
+
+
+def test_recall_of_reordered_records(spark):
+    """Records edited down to the limit and put in another order are found as often as near-duplicates are (0.9975)."""
+    rng = random.Random(5)
+    vocabulary = [f"{rng.choice('abcdefghijklmnop')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.randrange(200)}" for _ in range(3000)]
+    data = []
+    for i in range(500):
+        a = rng.sample(vocabulary, rng.randrange(25, 90))
+        b, near = list(a), list(a)
+        while len({*a} & {*b}) / len({*a} | {*b}) >= 0.7:
+            near = list(b)
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[], [rng.choice(vocabulary)], [b[k], rng.choice(vocabulary)]])
+        rng.shuffle(near)
+        data += [(2 * i, " ".join(a), "train", "s"), (2 * i + 1, " ".join(near), "test", "s")]
+    got = {(r["id_l"], r["id_r"]) for r in run(spark, data)[1].collect()}
+    assert len([x for x in range(500) if (2 * x, 2 * x + 1) not in got]) <= 1
