@@ -71,7 +71,10 @@ def positives(spark: SparkSession, a: argparse.Namespace) -> int | None:
 
 def cross_score(spark: SparkSession, a: argparse.Namespace) -> int | None:
     """Texts against the ontology; the row number is given before shards are taken."""
-    rows = ordering.number_rows(spark.read.parquet(a.input_parquet), [a.order_by])
+    rows = spark.read.parquet(a.input_parquet)
+    # a total order: each shard is a run of its own, and all must number alike; rows equal in all of it can change places
+    rows = rows.withColumn("__digest", F.md5(F.to_json(F.struct("*"))))
+    rows = ordering.number_rows(rows, [a.order_by, "tiab", "__digest"]).drop("__digest")
     rows = ordering.row_shard(rows, a.shard, a.num_shards)
     names = ontology.labels(files.csv_texts(spark, a.g2p_csv, a.g2p_columns.split(",") if a.g2p_columns else ["g2p id", *schemas.ONTOLOGY_COLUMNS[1:]]))
     best = top_k(rows.select("row_nr", F.col("tiab").alias("text")), ["row_nr"], names.withColumnRenamed("g2p_lgmde", "label"), model(a.model_path), a.top_k, a.g_block_size, chunk=a.chunk_size)

@@ -146,3 +146,14 @@ def test_unfinished_run_and_shards_into_one_output(spark, inputs):
     assert sorted(r["pmid"] for r in spark.read.parquet(str(p / "cls")).collect()) == list(range(5))
     assert run(spark, "positives", "--processed_dir", p / "cls", "--out_path", p / "pos") == 0
     assert "input_part" not in spark.read.parquet(str(p / "pos")).columns
+
+
+def test_shards_number_ties_alike(spark, inputs):
+    """Rows of one pmid, and of one pmid and text, are each in one shard, though they are read in another order by each run."""
+    p = inputs
+    rows = [(1, f"red syndrome {i // 2}", i) for i in range(40)]
+    for i, part in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(part, "pmid long, tiab string, x int").coalesce(1).write.parquet(str(p / f"in{i}" / "pos"))
+        run(spark, "cross-score", "--input_parquet", p / f"in{i}" / "pos", "--g2p_csv", p / "g2p.csv", "--out_dir", p / "c", "--shard", i, "--num_shards", 2)
+    got = [r for i in (0, 1) for r in spark.read.parquet(str(p / "c" / f"pos_crossencoded_shard{i}-of-2")).collect()]
+    assert sorted(r["x"] for r in got) == list(range(40)) and sorted(r["row_nr"] for r in got) == list(range(40))
