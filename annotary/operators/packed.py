@@ -1,30 +1,34 @@
 """Several values packed in one field: one row per value, position kept.
 
-Every delimiter outside quotes separates. A quoted span that holds delimiters can be
-one name or a quoted list of identifiers; the text itself does not tell. The column
-does: expectation-maximisation over all distinct fields learns how often each value
-occurs (and each value's shape, for values not seen elsewhere), and each span's lattice
-of two paths is decided by the more probable one (Viterbi). Both the frequencies and
-the lattices stay distributed: values, shapes and spans are tables, joined by key.
-
-Model of a value v: ``p(v) = (n(v) + A p0(v)) / (N + A)``, where n(v) is its expected
-number of occurrences in the column without the span in question, and the base p0 is the
-learned frequency of its shape times the frequencies of its words among all open spans'
-words. Words that names share therefore speak for either reading alike, while values seen
-alone speak for the list. Each distinct field counts once, so repeated rows do not make a
-list look like a name.
-
-Defined cases: null, blank, delimiter-only fields, a lone hyphen and answers saying that
-nothing matches give no row. A quote that never closes is dropped. Values are kept as
-they stand, repeated ones included. An empty table gives an empty table.
+Each field is a lattice of candidates (``functions.packed``): any delimiter may separate or
+belong to a value, a closed quoted span may be one value as a whole. What is likely is
+learned from all rows of the column by expectation-maximisation, at two levels.
+
+* Shapes. The lattice depends on a field's shape only (letters and digits by class), so the
+  column is reduced to its distinct shapes with their numbers of rows. Fields with a single
+  reading give the first frequencies of candidates' shapes; rounds of forward-backward over
+  all lattices, each weighted by its rows, then settle them. Frequencies are a hashed table
+  of one size for every column, so the broadcast is bounded.
+* Values. Where a shape leaves a reading open (a probability below ``SURE``), the values'
+  own frequencies decide: expected counts over the column, with the field's own count left
+  out (else each odd field would be its own best value), and shapes for values not seen
+  elsewhere. Values are a table joined by key.
+
+Viterbi gives each shape, or each open field, its most probable path; rows take it by key.
+A field without any possible delimiter has a single candidate and needs no path.
+
+Defined cases: null, blank, delimiter-only fields and a lone hyphen give no row; nor does bare
+text without a digit, such as an answer that nothing matches (``digit=False`` makes it a value).
+Quoted text is a value. A quote that never closes is dropped. Values are kept as they stand,
+repeated ones included. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,141 +36,196 @@ from pyspark.sql import functions as F
 from annotary.functions import packed as P
 from annotary.runtime import cut, spread
 
-#: Weight A of the base distribution.
-BASE_WEIGHT = 50.0
-#: Weight of the prior over shapes; an unseen shape of k symbols has prior 4 ** -k.
-SHAPE_WEIGHT = 5.0
-#: Probability that a value is followed by one more; without evidence a quoted span is one value.
-MORE = 0.5
-ROUNDS = 3
+ROUNDS = 2
+#: A path is taken for its shape alone if each of its candidates has at least this probability.
+SURE = 0.9
 
 
-def _evidence(nothing: str):
-    """Of each distinct field: its certain values and its open spans."""
-    test = re.compile(nothing)
+def shape_of(raw: Column) -> Column:
+    for pattern, to in P.SHAPE:
+        raw = F.regexp_replace(raw, pattern, to)
+    return raw
 
+
+def _digest(c: Column) -> Column:
+    return F.unhex(F.md5(c))
+
+
+class _Model:
+    """Shape frequencies of each column, sent to the tasks: ``BUCKETS`` numbers a column."""
+
+    def __init__(self, counts: dict[str, np.ndarray], totals: dict[str, float]):
+        self.counts, self.totals, self._p = counts, totals, {}
+
+    def __getstate__(self):
+        return self.counts, self.totals
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def log_p(self, tab: str):
+        if tab not in self._p:
+            self._p[tab] = P.shape_log_p(self.counts.get(tab), self.totals.get(tab, 0.0))
+        return self._p[tab]
+
+
+def _lattice(shape: str, digit: bool):
+    f = P.read(shape)
+    return len(f.atoms), P.edges(f, f, digit)
+
+
+def _expected(model, digit: bool):
+    """Expected numbers of candidates by bucket; without a model those of fields with one reading."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = model.value if model else None
+        got: dict[tuple[str, int], float] = {}
+        for pdf in batches:
+            for tab, shape, rows in zip(pdf["tab"], pdf["shape"], pdf["n"]):
+                n, es = _lattice(shape, digit)
+                if known:
+                    p = known.log_p(tab)
+                    post = P.posteriors(n, es, [p(e.shape) for e in es])[0]
+                else:
+                    post = [1.0] if len(es) == 1 else []
+                for e, q in zip(es, post):
+                    if q > 1e-12:
+                        key = (tab, P.bucket(e.shape))
+                        got[key] = got.get(key, 0.0) + rows * q
+        yield pd.DataFrame([(*k, v) for k, v in got.items()], columns=["tab", "bucket", "n"])
+
+    return run
+
+
+def _decoded(model, digit: bool, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = model.value
         for pdf in batches:
             rows = []
-            for tab, raw in zip(pdf["tab"], pdf["raw"]):
-                for s in P.segments(raw, test):
-                    if s.whole is None:
-                        rows += [(tab, v, P.shape(v), None, None, None) for v in s.pieces]
-                    else:
-                        rows.append((tab, s.whole, P.shape(s.whole), s.pieces, [P.shape(v) for v in s.pieces], 1))
-            yield pd.DataFrame(rows, columns=["tab", "value", "shape", "pieces", "shapes", "open"])
+            for tab, shape in zip(pdf["tab"], pdf["shape"]):
+                n, es = _lattice(shape, digit)
+                p = known.log_p(tab)
+                post, path = P.posteriors(n, es, [p(e.shape) for e in es])
+                sure = all(post[k] >= least for k in path) or len(es) < 2 or all(e.kind == P.FILLER for e in es)
+                rows.append((P.spell(es, path), len(es) > 1, sure))
+            yield pdf[["tab", "shape"]].assign(**{c: [r[i] for r in rows] for i, c in enumerate(("path", "choice", "sure"))})
 
     return run
 
 
-def _values(nothing: str):
-    test = re.compile(nothing)
+def _learn(shapes: DataFrame, rounds: int, digit: bool):
+    """The broadcast model after ``rounds``. What reaches the driver is at most ``BUCKETS`` rows a column."""
+    sc = shapes.sparkSession.sparkContext
+    model = None
+    for _ in range(rounds + 1):
+        found = shapes.mapInPandas(_expected(model, digit), "tab string, bucket int, n double").groupBy("tab", "bucket").agg(F.sum("n").alias("n"))
+        counts: dict[str, np.ndarray] = {}
+        for r in found.collect():
+            counts.setdefault(r["tab"], np.zeros(P.BUCKETS))[r["bucket"]] = r["n"]
+        model = sc.broadcast(_Model(counts, {t: float(c.sum()) for t, c in counts.items()}))
+    return model
+
+
+def shape_paths(rows: DataFrame, rounds: int = ROUNDS, digit: bool = True, sure: float = SURE):
+    """``(tab, shape, n, path, choice, sure)`` for each shape of ``rows(tab, raw)``, and the model."""
+    shapes = cut(rows.where("raw is not null").groupBy("tab", shape_of(F.col("raw")).alias("shape")).agg(F.count("*").alias("n")), "shapes")
+    model = _learn(shapes, rounds, digit)
+    return shapes.mapInPandas(_decoded(model, digit, sure), "tab string, shape string, path string, choice boolean, sure boolean"), model
+
+
+_LATTICE = "array<struct<at:int,to:int,kind:string,value:string,base:double,post:double>>"
+
+
+def _candidates(model, digit: bool):
+    """Lattices of open fields: each candidate's log probability by shape and characters, and as its first share that among all paths alike."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = model.value
         for pdf in batches:
-            rows = []
-            for tab, key, raw in zip(pdf["tab"], pdf["row_key"], pdf["raw"]):
-                found = P.segments(raw, test)
-                if found:
-                    rows.append((tab, key, [{"whole": s.whole, "pieces": s.pieces} for s in found], any(s.whole is not None for s in found)))
-            yield pd.DataFrame(rows, columns=["tab", "row_key", "parts", "open"])
+            out = []
+            for tab, raw, shape in zip(pdf["tab"], pdf["raw"], pdf["shape"]):
+                f, s = P.read(raw), P.read(shape)
+                es = P.edges(f, s, digit)
+                p = [known.log_p(tab)(e.shape) for e in es]
+                post = P.posteriors(len(s.atoms), es, [0.0] * len(es))[0]
+                values = [("~" if e.kind == P.FILLER else "") + f.value(e) for e in es]
+                spelled = [sum(math.log(10) if c.isdigit() else math.log(26) for c in v if c.isalnum()) for v in values]
+                out.append([{"at": e.at, "to": e.to, "kind": e.kind, "value": v, "base": q - c, "post": w} for e, v, q, c, w in zip(es, values, p, spelled, post)])
+            yield pdf[["tab", "raw", "n"]].assign(lattice=out)
 
     return run
 
 
-def _shape_prior(shape: Column) -> Column:
-    return F.pow(F.lit(4.0), -F.length(shape))
-
-
-def decide_spans(fields: DataFrame, nothing: str = P.NOTHING, rounds: int = ROUNDS) -> DataFrame:
-    """``(tab, whole, is_name)`` for each distinct open span of ``fields(tab, raw)``."""
-    distinct = fields.where("raw is not null").groupBy("tab", "raw").agg(F.lit(1).alias("one"))
-    seen = cut(
-        spread(distinct.select("tab", "raw"), always=True).mapInPandas(
-            _evidence(nothing), "tab string, value string, shape string, pieces array<string>, shapes array<string>, open int"
-        ),
-        "evidence",
-    )
-    sure = seen.where("open is null")
-    spans = cut(
-        seen.where("open = 1")
-        .groupBy("tab", "value")
-        .agg(F.first("shape").alias("shape"), F.first("pieces").alias("pieces"), F.first("shapes").alias("shapes"))
-        .withColumnRenamed("value", "whole")
-        .withColumn("span", F.xxhash64("tab", "whole")),
-        "spans",
-    )
-    pieces = spans.select("tab", "whole", "span", F.explode(F.arrays_zip("pieces", "shapes")).alias("e")).select(
-        "tab", "whole", "span", F.lit(False).alias("name"), F.col("e.pieces").alias("value"), F.col("e.shapes").alias("shape")
-    )
-    words = pieces.groupBy("tab", "value").agg(F.count("*").cast("double").alias("w"))
-    word_totals = words.groupBy("tab").agg(F.sum("w").alias("all_w"))
-    listed = cut(
-        pieces.join(words, ["tab", "value"]).join(F.broadcast(word_totals), "tab")  # one row for each column that is unpacked
-        .withColumn("log_q", F.log(F.col("w") / F.col("all_w"))).drop("w", "all_w"),
-        "edges",
-    )
-    named = spans.select("tab", "whole", "span", F.lit(True).alias("name"), F.col("whole").alias("value"), "shape").join(
-        listed.groupBy("tab", "whole", "span").agg(F.sum("log_q").alias("log_q")), ["tab", "whole", "span"], "left"
-    ).fillna(0.0, ["log_q"])
-    edges = cut(named.unionByName(listed), "edges")
-    # of the certain values only those count that occur in a span, and their number in all; the rounds see no more
-    among = lambda by: cut(
-        sure.groupBy("tab", by).agg(F.count("*").cast("double").alias("n")).join(edges.select("tab", by).distinct(), ["tab", by], "left_semi"), "counts"
-    )
-    sure_values, sure_shapes = among("value"), among("shape")
-    sure_total = cut(sure.groupBy("tab").agg(F.count("*").cast("double").alias("n")), "totals")
-    post = None
-    for i in range(rounds + 1):
-        if post is None:
-            values, shapes, total = sure_values, sure_shapes, sure_total
-            own = edges.withColumn("mine", F.lit(0.0))
-        else:
-            share = F.when(F.col("name"), F.col("p")).otherwise(1 - F.col("p"))
-            own = edges.join(post, ["tab", "whole", "span"]).withColumn("mine", share).drop("p")
-            add = lambda a, *by: a.unionByName(own.select(*by, F.col("mine").alias("n"))).groupBy(*by).agg(F.sum("n").alias("n"))
-            values, shapes, total = add(sure_values, "tab", "value"), add(sure_shapes, "tab", "shape"), add(sure_total, "tab")
-        # a value's own span must not speak for it
-        n = F.greatest(F.coalesce(F.col("n"), F.lit(0.0)) - F.col("mine"), F.lit(0.0))
-        m = F.greatest(F.coalesce(F.col("m"), F.lit(0.0)) - F.col("mine"), F.lit(0.0))
-        p_shape = (m + SHAPE_WEIGHT * _shape_prior(F.col("shape"))) / (F.coalesce(F.col("total"), F.lit(0.0)) + SHAPE_WEIGHT)
-        base = math.log(BASE_WEIGHT) + F.log(p_shape) + F.col("log_q")
-        # log(n + exp(base)) without loss where exp(base) is very small
-        high, low = F.greatest(F.log(n), base), F.least(F.coalesce(F.log(n), base - 700.0), base)
-        log_p = high + F.log1p(F.exp(low - high)) - F.log(F.coalesce(F.col("total"), F.lit(0.0)) + BASE_WEIGHT) + math.log(MORE)
-        scored = (
-            own.join(values, ["tab", "value"], "left")
-            .join(shapes.withColumnRenamed("n", "m"), ["tab", "shape"], "left")
-            .join(F.broadcast(total.withColumnRenamed("n", "total")), "tab", "left")  # one row for each column that is unpacked
-            .withColumn("log_p", log_p)
-        )
-        post = cut(
-            scored.groupBy("tab", "whole", "span")
-            .agg(F.sum(F.when(F.col("name"), F.col("log_p"))).alias("a"), F.sum(F.when(~F.col("name"), F.col("log_p"))).alias("b"))
-            # a span without pieces is no list
-            .select("tab", "whole", "span", F.when(F.col("b").isNull(), 1.0).otherwise(1 / (1 + F.exp(F.least(F.col("b") - F.col("a"), F.lit(700.0))))).alias("p")),
-            "posterior",
-        )
-    return post.select("tab", "whole", (F.col("p") >= 0.5).alias("is_name"))
-
-
-def unpack(rows: DataFrame, nothing: str = P.NOTHING, rounds: int = ROUNDS) -> DataFrame:
+def _settled(model):
+    """One more round: posteriors and best path from the values' counts, the field's own left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = model.value.totals
+        for pdf in batches:
+            lattices, paths = [], []
+            for tab, n, lattice in zip(pdf["tab"], pdf["n"], pdf["lattice"]):
+                lattice = sorted((dict(x["e"]) | {"count": x["count"], "pos": x["pos"]} for x in lattice), key=lambda x: x["pos"])
+                es = [P.Edge(x["at"], x["to"], x["kind"], "") for x in lattice]
+                total = max(totals.get(tab, 0.0), 1.0)
+                own = [max(x["count"] - n * x["post"], 0.0) for x in lattice]
+                log_p = [math.log((1 - P.REST) * c / total + P.REST * math.exp(max(x["base"], -700.0))) for c, x in zip(own, lattice)]
+                post, path = P.posteriors(max(e.to for e in es), es, log_p)
+                lattices.append([{k: x[k] for k in ("at", "to", "kind", "value", "base")} | {"post": q} for x, q in zip(lattice, post)])
+                paths.append(P.spell(es, path))
+            yield pdf[["tab", "raw", "n"]].assign(lattice=lattices, path=paths)
+
+    return run
+
+
+def value_paths(open_rows: DataFrame, certain: DataFrame, model, rounds: int = ROUNDS, digit: bool = True) -> DataFrame:
+    """``(tab, raw, path)`` for each different field of ``open_rows(tab, raw, shape)``.
+
+    ``certain(tab, value)`` are the values of all other fields; only those that are candidates here are counted."""
+    fields = open_rows.groupBy("tab", "raw", "shape").agg(F.count("*").alias("n"))
+    state = cut(spread(fields, always=True).mapInPandas(_candidates(model, digit), f"tab string, raw string, n long, lattice {_LATTICE}"), "lattices")
+    wanted = state.select("tab", F.explode("lattice.value").alias("value")).distinct()
+    sure = cut(certain.groupBy("tab", "value").agg(F.count("*").cast("double").alias("count")).join(wanted, ["tab", "value"], "left_semi"), "counts")
+    for _ in range(rounds):
+        flat = state.select("tab", "raw", "n", F.posexplode("lattice").alias("pos", "e")).withColumn("value", F.col("e.value"))
+        counts = sure.unionByName(flat.select("tab", "value", (F.col("n") * F.col("e.post")).alias("count"))).groupBy("tab", "value").agg(F.sum("count").alias("count"))
+        again = flat.join(counts, ["tab", "value"]).groupBy("tab", "raw", "n").agg(F.collect_list(F.struct("pos", "e", "count")).alias("lattice"))
+        state = cut(again.mapInPandas(_settled(model), f"tab string, raw string, n long, lattice {_LATTICE}, path string"), "lattices")
+    return state.select("tab", "raw", "path")
+
+
+def _values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf[["tab", "row_key"]].assign(items=[P.apply_path(r, p) for r, p in zip(pdf["raw"], pdf["path"])])
+
+
+#: A field that is one candidate with a digit, blanks and such around it: no delimiter, quote or bracket within.
+_INNER = "".join("\\" + c for c in P.SEPARATORS + P.MARKS + P.BRACKETS) + r"\s" + P.BLANKS
+_ONE = rf"^[{_INNER}]*([^{_INNER}]*[^{_INNER}\-–—][^{_INNER}]*)[{_INNER}]*$"
+
+
+def unpack(rows: DataFrame, rounds: int = ROUNDS, digit: bool = True, sure: float = SURE) -> DataFrame:
     """``(tab, row_key, pos, item)`` of ``rows(tab string, row_key bigint, raw string)``.
 
-    ``tab`` tells columns apart that are unpacked together; each has its own frequencies."""
-    rows = rows.select("tab", "row_key", "raw")
-    decided = decide_spans(rows, nothing, rounds)
-    # the raw values are parsed twice: a second scan costs less than a shuffle of all rows
-    parsed = spread(rows.where("raw is not null")).mapInPandas(
-        _values(nothing), "tab string, row_key bigint, parts array<struct<whole:string,pieces:array<string>>>, open boolean"
-    )
-    closed = parsed.where("not open").select("tab", "row_key", F.posexplode(F.flatten("parts.pieces")).alias("pos", "item"))
-    # rows with an open span: each span is looked up, then the row's items are put together again
-    row = F.struct("tab", "row_key", F.xxhash64("parts"), F.monotonically_increasing_id())
-    opened = parsed.where("open").withColumn("row", row).select("row", F.posexplode("parts").alias("at", "part"))
-    # a span's decision is one row for each distinct span; AQE splits a span that many rows repeat
-    chosen = opened.select("row", "at", "part", F.col("row.tab").alias("tab"), F.col("part.whole").alias("whole")).join(decided, ["tab", "whole"], "left")
-    items = F.when(F.col("is_name"), F.array("whole")).otherwise(F.col("part.pieces"))
-    again = chosen.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", items.alias("items")))).alias("all"))
-    opened = again.select("row.tab", "row.row_key", F.posexplode(F.flatten("all.items")).alias("pos", "item"))
-    return closed.unionByName(opened).select("tab", "row_key", (F.col("pos") + 1).cast("int").alias("pos"), "item")
+    ``tab`` tells columns apart that are unpacked together; each has its own frequencies. With
+    ``sure`` above 1 values' frequencies decide every field that has a choice."""
+    rows = rows.where("raw is not null").select("tab", "row_key", "raw")
+    decided, model = shape_paths(rows, rounds, digit, sure)
+    decided = cut(decided.withColumn("key", _digest("shape")).drop("shape"), "paths")
+    one = F.regexp_extract("raw", _ONE, 1)
+    alone = (one != "") & one.rlike(r"\p{N}")
+    single = rows.where(alone).select("tab", "row_key", F.array(one).alias("items"))
+    several = rows.where(~alone).withColumn("shape", shape_of(F.col("raw")))
+    # a row for each different shape; where Spark does not broadcast it, adaptive execution splits a shape that many rows have
+    several = several.withColumn("key", _digest("shape")).join(decided, ["tab", "key"])
+    schema = "tab string, row_key long, items array<string>"
+    take = lambda df: df.select("tab", "row_key", "raw", "path").where("path rlike '[vq]'").mapInPandas(_values, schema)
+    parts = [single, take(several.where("sure"))]
+    if not decided.where("not sure").isEmpty():
+        certain = single.unionByName(parts[1]).select("tab", F.explode("items").alias("value"))
+        open_rows = several.where("not sure").select("tab", "row_key", "raw", "shape")
+        paths = value_paths(open_rows.drop("row_key"), certain, model, rounds, digit)
+        parts.append(take(open_rows.join(paths, ["tab", "raw"])))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("tab", "row_key", F.posexplode("items").alias("pos", "item")).select("tab", "row_key", (F.col("pos") + 1).cast("int").alias("pos"), "item")

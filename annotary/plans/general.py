@@ -23,11 +23,14 @@ def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_per_key(spark, f"{sf_dir}/articles.parquet", "pmid", DELIVERY_ORDER)
 
 
+#: Table, key and field of the packed columns.
+FIELDS = (("final_tiab_mappings", "map_id", "llm_dis_map"), ("gene2pubtator3", "mention_id", "entity_id"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = (("final_tiab_mappings", "map_id", "llm_dis_map"), ("gene2pubtator3", "mention_id", "entity_id"))
     a, b = (
         table(spark, sf_dir, t).select(F.lit(t).alias("tab"), F.col(k).cast("bigint").alias("row_key"), F.col(c).alias("raw"))
-        for t, k, c in fields
+        for t, k, c in FIELDS
     )
     return a.unionByName(b)
 
@@ -45,4 +48,12 @@ ORACLE = {
     "p4_found": f"SELECT delivery_id FROM ({_RANKED}) WHERE pmid IS NOT NULL AND rn > 1",
     "p4_kept": f"""SELECT delivery_id, pmid, title, abstract, languages, pubdate, journal, source_file, received_at
         FROM ({_RANKED}) WHERE pmid IS NULL OR rn = 1""",
+    # names hold a run of lower-case letters, all other values a digit; the operator learns what SQL is told here
+    "p5_found": "WITH f AS (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS tab, CAST({k} AS BIGINT) AS row_key, {c} AS raw FROM {t} WHERE {c} IS NOT NULL" for t, k, c in FIELDS
+    ) + r"""),
+        v AS (SELECT tab, row_key, list_filter(regexp_extract_all(raw, '"(?:[^"]|"")*[a-z]{3}(?:[^"]|"")*"|[^\s;,|/&\[\](){}<>"\x27`“”‘’„«»]+'),
+            lambda x: starts_with(x, '"') OR regexp_matches(x, '[0-9]')) AS items FROM f)
+        SELECT tab, row_key, CAST(generate_subscripts(items, 1) AS INTEGER) AS pos,
+            replace(regexp_replace(unnest(items), '^"|"$', '', 'g'), '""', '"') AS item FROM v""",
 }
