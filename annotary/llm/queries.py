@@ -143,6 +143,11 @@ ORACLE = {
         eg AS (SELECT DISTINCT id AS item_id, hash(w[k:k+11]) AS h, w[k:k+11] AS g FROM e, unnest(range(1, len(w) - 10)) AS t(k))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (h, g)""",
 }
+# sizes in words and signs: no source lies so near the limit that the choice of tokenizer matters
+ORACLE["p7_found"] = r"""WITH t AS (SELECT source, max(target_share) AS share, max(max_repeats) AS most FROM mix_targets WHERE source IS NOT NULL GROUP BY source),
+    n AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'))) AS size FROM documents GROUP BY source),
+    j AS (SELECT source, share, most, coalesce(size, 0) AS size, sum(coalesce(size, 0)) OVER () AS total FROM t LEFT JOIN n USING (source))
+    SELECT source FROM j WHERE size * most < share * total"""
 _WORDSETS = _SETS.format(key="pmid", text="tiab", table="classified WHERE tiab IS NOT NULL AND pmid IS NOT NULL")
 ORACLE["p1_groups"] = f"""WITH RECURSIVE s AS ({_WORDSETS}), t AS (SELECT DISTINCT * FROM s WHERE len(w) >= 20),
     c AS (SELECT w, count(*) AS copies FROM t GROUP BY w),

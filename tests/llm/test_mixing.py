@@ -39,7 +39,7 @@ def test_mix(spark, rule):
     planned = M.plan(sizes, targets, rule)
     plan = {r["source"]: r for r in planned.collect()}
     total = sum(r["tokens"] for r in plan.values())
-    assert {s for s, r in plan.items() if r["short"]} == {"small", "absent"} and set(plan) == {"big", "small", "mid", "absent"}
+    assert {s for s, r in plan.items() if r["short"]} == ({"small", "absent"} if rule == "targets" else {"absent"}) and set(plan) == {"big", "small", "mid", "absent"}
     used = M.repeats(sizes, planned)
     got = used.collect()
     assert len({r["id"] for r in got}) == len(got) and {r["source"] for r in got} <= set(plan)
@@ -50,6 +50,7 @@ def test_mix(spark, rule):
         assert all(x["repeats"] <= r["max_repeats"] for x in mine)
         assert len({x["repeats"] for x in mine}) <= 2
     if rule == "targets":
+        assert plan["mid"]["exponent"] == plan["big"]["exponent"] == 0 and 0 < plan["small"]["exponent"] < 1 == plan["absent"]["exponent"]
         assert abs(plan["mid"]["budget"] - 0.35 * total) <= 1 and plan["small"]["budget"] == 3 * 200
     shares = {r["source"]: r["actual_share"] for r in M.shares(used, planned).collect()}
     assert abs(sum(shares.values()) - 1) < 1e-9 and shares["absent"] == 0
@@ -67,6 +68,35 @@ def test_exponent():
     assert M.tempered({}, 0.5) == {} and M.tempered({"a": 0.0}, 0.5) == {"a": 0.0}
 
 
+@pytest.mark.parametrize(("base", "share", "limit"), [(0.3, 0.1, 0.15), (0.3, 0.1, 0.3), (0.2, 0.01, 0.02), (0.1, 0.5, 0.5), (0.0, 0.2, 0.2), (0.1, 0.0, 0.0)])
+def test_own_exponent(base, share, limit):
+    a = M.own_exponent(base, share, limit)
+    if base <= limit:
+        assert a == 0
+    elif share == 0:
+        assert a == 1
+    else:
+        assert math.isclose(base ** (1 - a) * share**a, limit, rel_tol=1e-9)
+
+
+def test_nulls_ties_and_repeated_rows(spark):
+    sizes = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (None, "a", 5), (2, None, 5), (3, "a", 0)] + [(i, "b", 1) for i in range(10, 40)], SIZES)
+    targets = spark.createDataFrame([("a", 0.2, None), ("b", None, 2), (None, 0.5, 1)], TARGETS)
+    planned = M.plan(sizes, targets)
+    assert {r["source"]: r["short"] for r in planned.collect()} == {"a": False, "b": False}
+    used = M.repeats(sizes, planned).groupBy("source").agg(M.F.sum("tokens").alias("n")).collect()
+    assert {r["source"] for r in used} == {"a"} and used[0]["n"] <= 9
+
+
+def test_setting_names_the_vocabulary(spark):
+    spark.conf.set(M.SETTING, "/nowhere/else")
+    try:
+        with pytest.raises(FileNotFoundError):
+            M.token_sizes(spark.createDataFrame([(1, "a", "x")], "id long, source string, text string"))
+    finally:
+        spark.conf.unset(M.SETTING)
+
+
 def test_empty_tables(spark):
     sizes, targets = make(spark)
     none = M.plan(sizes.limit(0), targets)
