@@ -1,18 +1,27 @@
 """Text statistics of each document, and its nearest structural profile.
 
-A document is described by three distributions over its words and characters:
+A document is described by four distributions over its words and characters:
 
 * character classes (lower, upper, digit, blank, line break, kinds of punctuation, other);
 * kinds of words: function words of each of four languages, other words by how they are
   written (lower, capitalised, upper, digits, letters with digits, symbols);
 * how long the units are that its words stand in. A unit ends at a sentence's end, and at a
-  line's end unless the text runs on (hard-wrapped prose).
+  line's end unless the text runs on (hard-wrapped prose);
+* novelty: words in units that stand there for the first time, and in repeated ones.
 
 The same is computed for a short specimen of each structure: prose in four languages, and
-lists, tables, markup, sequences and so on. The distance to a profile is the weighted sum of
-the three Jensen-Shannon divergences; the nearest profile gives the document's structure.
-A document whose words stand mostly in units that it repeats is ``repeated`` whatever its
-words are. Upper-case prose is compared in lower case.
+lists, tables, markup, sequences and so on. The distance to a profile is the sum of the four
+Jensen-Shannon divergences; the nearest profile gives the document's structure. Each prose
+profile stands there a second time with its first sentence repeated. Prose mostly in letters
+other than Latin ones is compared with prose whose function words are not known. Upper-case
+prose is compared in lower case.
+
+Prose specimens are passages of the Universal Declaration of Human Rights and a paragraph
+written for this module; the function words are the usual short lists of each language's
+articles, prepositions, pronouns, conjunctions and auxiliaries; the other specimens are about
+gardens, ships and shops. None is taken from a table that the module is applied to.
+
+The basic counts are expressions and stay in the JVM; only the profiles need Python.
 
 Documents with several parts (a text and a table below it) are described as a whole, so the
 larger part decides.
@@ -32,89 +41,119 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from annotary.runtime import spread
 
+#: Articles, prepositions, conjunctions, pronouns, auxiliaries and a few adverbs of each language.
 FUNCTION_WORDS = {
-    "en": "the of and in to a with for that was were by on as at from is this an are not had which or been be no but we our it than has its these did may after between",
-    "fr": "le la les des du de une un et est en dans que qui pour par au a pas cette nous été sont chez entre selon sur avec aucune d l n se d'une",
-    "de": "der die das und ist in den von zu mit dem des ein eine einer für auf nicht im sich dass wurde werden an bei über aus keinem war hing ab um",
-    "es": "el los las de que y en una un por con para se del al no es son este más su entre la fue durante",
+    "en": "the a an of in on at to from by with for into about over under after before between through during without within and or but nor so yet if because while "
+    "although though than that this these those which who whom whose what when where why how i you he she it we they me him her us them my your his its our their "
+    "is are was were be been being am has have had do does did will would shall should can could may might must not no all any some such each both more most other only also there as",
+    "fr": "le la les l un une des du de d à au aux en dans par pour sur sous avec sans entre vers chez depuis pendant après avant contre et ou mais ni donc car si que qu qui quoi dont où "
+    "comme lorsque quand je tu il elle on nous vous ils elles me te se s lui leur leurs son sa ses mon ma mes ton ta tes notre nos votre vos ce c cet cette ces cela est sont était "
+    "étaient être été a ont avait avaient avoir fait peut plus moins très ne n pas aucun aucune tout toute tous toutes même aussi y",
+    "de": "der die das den dem des ein eine einer eines einem einen und oder aber denn sondern doch wenn weil dass ob als wie zu zum zur in im an am auf aus bei beim mit nach seit von vom vor für "
+    "durch gegen ohne um über unter zwischen bis ich du er sie es wir ihr mich dich sich uns euch ihn ihm ihnen mein dein sein seine seiner ihre ihrer unser dieser diese dieses jeder jede jedes "
+    "welche ist sind war waren wird werden wurde wurden worden hat haben hatte hatten kann können soll sollen muss darf nicht kein keine keiner keinem keinen auch nur noch schon sehr mehr so da",
+    "es": "el la los las un una unos unas de del a al en con por para sin sobre entre desde hasta hacia contra durante tras y e o u pero ni sino si porque aunque como cuando donde que quien cual "
+    "cuyo yo tú él ella nosotros ellos ellas me te se nos le les lo su sus mi mis tu tus nuestro este esta estos estas ese esa eso aquel es son era eran ser sido fue fueron está están ha han "
+    "había haber hay tiene puede no más menos muy también ya todo toda todos todas otro otra",
 }
 _LANGUAGES = list(FUNCTION_WORDS)
 #: The languages of each function word; one of several languages counts in parts.
 _KNOWN = {w: [i for i, k in enumerate(_LANGUAGES) if w in FUNCTION_WORDS[k].split()] for v in FUNCTION_WORDS.values() for w in v.split()}
 _KINDS = ["lower", "capital", "upper", "digits", "mixed", "symbols", "joined"]
-#: Characters of each class; of the rest, letters are lower, blanks blank, and others ``other``.
-_CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \xa0", "\n\r", ".!?", ",;:", "'\"’“”()-–—", "<>{}=[]", "|\t"]
+#: Characters of each class; of the rest, letters of any script are lower or upper, blanks blank, and others ``other``.
+_CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \xa0\u3000", "\n\r", ".!?。！？؟।۔", ",;:、，；：،؛", "'\"’“”()-–—「」（）", "<>{}=[]", "|\t"]
 _OTHER = len(_CLASSES)
-_CLASS_OF = np.full(0x3000, _OTHER, np.int64)
-for _i in range(0xC0, 0x3000):
-    if chr(_i).isalpha():
-        _CLASS_OF[_i] = 0
-for _i, _chars in enumerate(_CLASSES):
-    for _c in _chars:
-        _CLASS_OF[ord(_c)] = _i
 #: Last number of words in each class of unit lengths.
 _LENGTHS = [1, 3, 6, 10]
-_SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+(?=\S)")
+_SENTENCE = re.compile(r"(?<=[.!?؟।۔])[\"'”’)\]]*\s+(?=\S)")
 _ITEM = re.compile(r"[,;|]\s+|\s+[|>]\s+")
-WEIGHTS = (1.0, 1.0, 1.0)
-#: Share of words in repeated units above which a text is ``repeated``.
-REPEATED = 0.5
-PROSE = {"prose_en", "prose_fr", "prose_de", "prose_es", "prose_wordy"}
-
-_PROSE_EN = """We examined the patients who had been referred to the clinic for loss of hearing during the last ten years. Although most of them \
-reported no pain, the disorder was found in 14 of 37 families (p < 0.05). These findings suggest that a change of the gene may account for the \
-weakness seen in children, but not in adults. However, the samples were too few to decide whether treatment is of use. In contrast, expression \
-of ABC1 was reduced in the liver and in the kidney, which had not been shown before. Further work with larger groups is needed to learn how the \
-protein acts on growth."""
+#: Words that lose a vowel before the next one.
+_ELIDED = re.compile(r"\b([cdjlmnst]|qu)['’](?=\w)", re.IGNORECASE)
+#: Scripts written without blanks: a word is counted for each two of their characters.
+_CLOSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]+")
+_WIDE_STOPS = str.maketrans({"。": ". ", "！": "! ", "？": "? ", "、": ", ", "，": ", ", "；": "; ", "：": ": "})
+WEIGHTS = (1.0, 1.0, 1.0, 1.0)
+
+
+@cache
+def _class_of() -> np.ndarray:
+    table = np.full(0x110000, _OTHER, np.int8)
+    for i in range(0x80, 0x110000):
+        c = chr(i)
+        if c.isalpha():
+            table[i] = 1 if i < 0x2000 and c.isupper() and not 0xC0 <= i < 0x250 else 0
+    for i, chars in enumerate(_CLASSES):
+        for c in chars:
+            table[ord(c)] = i
+    return table
+
+
+#: Passages of the Universal Declaration of Human Rights (a fixed text).
+_RIGHTS = {
+    "en": """All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit \
+of brotherhood. Everyone has the right to life, liberty and security of person. No one shall be held in slavery or servitude; slavery and the slave trade shall be \
+prohibited in all their forms. No one shall be subjected to torture or to cruel, inhuman or degrading treatment or punishment. Everyone has the right to leave any \
+country, including his own, and to return to his country. Men and women of full age, without any limitation due to race, nationality or religion, have the right to marry \
+and to found a family. The family is the natural and fundamental group unit of society and is entitled to protection by society and the State.""",
+    "fr": """Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres \
+dans un esprit de fraternité. Tout individu a droit à la vie, à la liberté et à la sûreté de sa personne. Nul ne sera tenu en esclavage ni en servitude; l'esclavage et la \
+traite des esclaves sont interdits sous toutes leurs formes. Nul ne sera soumis à la torture, ni à des peines ou traitements cruels. Toute personne a le droit de quitter \
+tout pays, y compris le sien, et de revenir dans son pays. La famille est l'élément naturel de la société et a droit à la protection de l'État.""",
+    "de": """Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geiste der Brüderlichkeit \
+begegnen. Jeder hat das Recht auf Leben, Freiheit und Sicherheit der Person. Niemand darf in Sklaverei oder Leibeigenschaft gehalten werden; Sklaverei und Sklavenhandel \
+in allen ihren Formen sind verboten. Niemand darf der Folter oder grausamer Behandlung unterworfen werden. Jeder hat das Recht, jedes Land, einschließlich seines eigenen, \
+zu verlassen und in sein Land zurückzukehren. Die Familie ist die natürliche Grundeinheit der Gesellschaft und hat Anspruch auf Schutz durch Gesellschaft und Staat.""",
+    "es": """Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con \
+los otros. Todo individuo tiene derecho a la vida, a la libertad y a la seguridad de su persona. Nadie estará sometido a esclavitud ni a servidumbre; la esclavitud y la \
+trata de esclavos están prohibidas en todas sus formas. Nadie será sometido a torturas ni a tratos crueles. Toda persona tiene derecho a salir de cualquier país, incluso \
+el propio, y a regresar a su país. La familia es el elemento natural de la sociedad y tiene derecho a la protección de la sociedad y del Estado.""",
+}
+#: Prose of a trade: more names, numbers and terms, fewer function words.
+_TRADE = """Granite blocks from the northern quarry arrived by barge in April. Because frost loosens mortar, masons may replace coping stones along Pier 12 within \
+weeks (see Table 3). Steel girders carried heavy cranes, while timber sheds sheltered rope, tar and sailcloth. Tidal gauges recorded 4.2 m at Westgate and 3.9 m at LNB2. \
+Harbour pilots rejected larger tugs after brief trials. Later surveys found rusted bolts in 17 of 60 frames, and divers sealed cracked valves near Dock GR7 before winter. \
+Paint samples with lead content above 0.5 % were scraped from hulls, funnels and rails."""
 SPECIMENS = {
-    "prose_en": _PROSE_EN,
-    "prose_fr": """Nous avons étudié les patients suivis pendant dix ans dans les hôpitaux de la région. Une atteinte de l'audition a été observée chez 14 \
-personnes, mais aucune différence n'a été trouvée entre les deux groupes. Les résultats montrent que le gène intervient dans la croissance au cours du \
-développement. Cette étude permet d'écarter une maladie associée, et le pronostic reste variable selon la présence d'une atteinte précoce.""",
-    "prose_de": """In dieser Arbeit werden die Patienten beschrieben, die über zehn Jahre in der Klinik beobachtet wurden. Bei 14 von ihnen wurde eine \
-Veränderung im Gen gefunden, jedoch konnte in keinem der Gewebe ein Verlust nachgewiesen werden. Die Ergebnisse sprechen dafür, dass das Protein an der \
-Entwicklung beteiligt ist. Weitere Untersuchungen sind nötig, um die Rolle der Krankheit zu klären, und der Verlauf hing von dem Alter ab.""",
-    "prose_es": """En este trabajo se describen los pacientes que fueron seguidos durante diez años en el hospital. Se encontraron cambios en el gen en 14 \
-de las familias, y no hubo diferencias entre los grupos en cuanto a la edad. Los resultados indican que la proteína participa en el desarrollo. Son \
-necesarios más estudios para aclarar el papel de la enfermedad, y la evolución fue variable y dependió de la presencia temprana.""",
-    "prose_wordy": """The renoplasia of hepatic cells was followed by early myotropia in carriers of DEF2B. Because scleromatosis depends on membrane \
-transport, neuropathine and cardiolysis may alter cortical fibrosis within weeks. Structural modelling placed the nucleus within a chondroblastin loop, \
-where it would disturb pedigree and osteogenine. An unrelated trichosis defect may have masked retinal thinning in family 45. Surprisingly few kidney \
-cells expressed GHI3 after exposure to dermatoxin. Patients with angiopathosis presented with seizures, muscle cramps and, in 31 cases, mosaic lipoidosis.""",
-    "list_marked": "\n".join(["- early renoplasia of the kidney;", "- severe myotropia;", "- mosaic hepatosis of the liver;", "- late cardiolysis;", "* partial osteogenine", "* familial angiopathosis of the skin", "• variable neuropathine", "• missense dermatoxin of the lens"]),
-    "list_plain": "\n".join(["early renoplasia of the kidney", "severe myotropia", "mosaic hepatosis of the liver", "late cardiolysis", "partial osteogenine of the skin", "familial angiopathosis"]),
-    "list_stopped": "\n".join(["early renoplasia of the kidney.", "severe myotropia.", "mosaic hepatosis of the liver.", "late cardiolysis.", "partial osteogenine of the skin.", "familial angiopathosis."]),
-    "list_names": "DEF2B\nGHI3\nJKLM\nNOP17\nQRS4A\nTUVW\nXYZA\nBCDE5",
-    "list_line": "hepatosis; DEF2B; cardiolysis; GHI3; osteogenine; JKLM4; angiopathosis; neuropathine; NOP17; dermatoxin",
-    "list_piped": "hepatosis | DEF2B | cardiolysis | GHI3 | osteogenine | JKLM4 | angiopathosis | neuropathine | NOP17 | dermatoxin",
+    **{f"prose_{k}": v for k, v in _RIGHTS.items()},
+    "prose_trade": _TRADE,
+    "list_marked": "\n".join(["- small baskets of the market;", "- heavy lanterns;", "- woven blankets of the north;", "- late tulips;", "* garden shears", "* wooden ladders of the orchard", "• broken flowerpots", "• copper kettles of the kitchen"]),
+    "list_plain": "\n".join(["small baskets of the market", "heavy lanterns", "woven blankets of the north", "late tulips", "garden shears of the orchard", "wooden ladders"]),
+    "list_stopped": "\n".join(["small baskets of the market.", "heavy lanterns.", "woven blankets of the north.", "late tulips.", "garden shears of the orchard.", "wooden ladders."]),
+    "list_names": "KLM2B\nTUB3\nQRST\nVAN17\nWXZ4A\nHIJK\nBCDA\nFGHE5",
+    "list_line": "lanterns; KLM2B; blankets; TUB3; kettles; QRST4; flowerpots; ladders; VAN17; tulips",
+    "list_piped": "lanterns | KLM2B | blankets | TUB3 | kettles | QRST4 | flowerpots | ladders | VAN17 | tulips",
     "references": "\n".join(
         [
-            "1. Smith J, Brown K. Hepatosis and weakness in carriers of DEF2B. Ann Renoplasia Cardiolysis. 2003;31:349-721.",
-            "2. Miller T, Jones R. Role of GHI3 in osteogenine of the liver. J Myotropia Angiopathosis. 1998;12:85-92.",
-            "3. Taylor A, Wilson E. A severe membrane in JKL5 linked to neuropathine in a tertiary hospital. Acta Dermatoxin. 2015;7:101-119.",
+            "1. Potter J, Cook K. Lanterns and ladders in the harbours of Norway. Ann Ships Harbours. 1971;31:349-721.",
+            "2. Mason T, Fisher R. Role of tar in ropes of the navy. J Timber Sailcloth. 1968;12:85-92.",
+            "3. Tanner A, Weaver E. A heavy kettle in the kitchens of a northern monastery. Acta Gardens. 1985;7:101-119.",
         ]
     ),
-    "table_piped": "weakness | early growth | in the liver | yes\nhearing loss | partial loop | in the skin | no |\nseizures | late onset | in the kidney | not tested.\npallor | mosaic domain | in the lens | yes",
-    "table_tabbed": "weakness\tearly growth\tin the liver\tyes\nhearing loss\tpartial loop\tin the skin\tno.\nseizures\tlate onset\tin the kidney\tnot tested\npallor\tmosaic domain\tin the lens\tyes",
-    "table_numbers": "gene | exon | cases | score | p\nDEF2B | 31 | 45 | 0.146 | 0.0003\nGHI3 | 5 | 251 | 0.017 | 0.0412\nJKLM | 40 | 300 | 0.956 | 0.7709",
-    "table_tabs": "gene\texon\tcases\tscore\tp\nDEF2B\t31\t45\t0.146\t0.0003\nGHI3\t5\t251\t0.017\t0.0412\nJKLM\t40\t300\t0.956\t0.7709",
-    "table_commas": "gene,exon,cases,score,p\nDEF2B,31,45,0.146,0.0003\nGHI3,5,251,0.017,0.0412\nJKLM,40,300,0.956,0.7709",
-    "table_spaced": "gene   exon   cases   score   p\nDEF2B   31   45   0.146   0.0003\nGHI3   5   251   0.017   0.0412\nJKLM   40   300   0.956   0.7709",
-    "contents": "Hepatosis domain ........ 12\nCardiolysis membrane ............ 118\nOsteogenine follow-up ................ 231\nMyotropia growth ... 304",
-    "markup": '<row id="51"><name>hepatosis</name><n>12</n></row>\n<item id="87"><name>cardiolysis</name><n>31</n></item>\n<sec id="9"><name>myotropia</name><n>4</n></sec>',
-    "sequence": ">seq_12 DEF2B\nGATTACAGGCTTAACCGTATCGGATACCTTAGGCATCAGTTGACCATGCAAGTCTAGGCA\nTTGACCGATAGGCTAACGTTAGCATCGGATTACCAGTAGCATTGACGTACCGATTAGCAT",
-    "variants": "DEF2B:c.4715A>G (p.Ser553Trp)\nGHI3:c.1132C>T (p.Gly103Ter)\nJKLM:c.77G>A (p.Arg26fs)\nNOP17:c.3979T>C (p.Leu749Asp)",
-    "encoded": "J5Zt9WfyHTYyauE0JPMQ7f1OP+I0BprYkHuavTc+RegL6JYPim6NUgXROBUAO7fdXbUw+VJVtMdL\nf3ov0BfXpPNPi3Be70zqmIIXKwPZIEM2zsSGFxA9dNGlhmNxXLUZQ3g16Cmxx0bY7wbEiXT4dM7N",
-    "navigation": "Home | Help | Sign in | Next page | Cart (0) | Contact us | Print | Share | Skip to main content | Download | Browse | Register | Cookies",
-    "navigation_path": "Home > Help > Sign in > Next page > Cart (0) > Contact us > Print > Share > Skip to main content > Download > Browse > Register > Cookies",
-    "navigation_lines": "Home\nHelp\nSign in\nNext page\nCart (0)\nContact us\nPrint\nShare\nSkip to main content\nDownload\nBrowse\nRegister\nCookies",
+    "table_piped": "blankets | early spring | in the north | yes\nlanterns lit | half price | in the yard | no |\nkettles | late autumn | in the kitchen | not sold.\ntulips | mixed colours | in the frame | yes",
+    "table_tabbed": "blankets\tearly spring\tin the north\tyes\nlanterns lit\thalf price\tin the yard\tno.\nkettles\tlate autumn\tin the kitchen\tnot sold\ntulips\tmixed colours\tin the frame\tyes",
+    "table_numbers": "ship | dock | crew | depth | m\nKLM2B | 31 | 45 | 0.146 | 0.0003\nTUB3 | 5 | 251 | 0.017 | 0.0412\nQRST | 40 | 300 | 0.956 | 0.7709",
+    "table_tabs": "ship\tdock\tcrew\tdepth\tm\nKLM2B\t31\t45\t0.146\t0.0003\nTUB3\t5\t251\t0.017\t0.0412\nQRST\t40\t300\t0.956\t0.7709",
+    "table_commas": "ship,dock,crew,depth,m\nKLM2B,31,45,0.146,0.0003\nTUB3,5,251,0.017,0.0412\nQRST,40,300,0.956,0.7709",
+    "table_spaced": "ship   dock   crew   depth   m\nKLM2B   31   45   0.146   0.0003\nTUB3   5   251   0.017   0.0412\nQRST   40   300   0.956   0.7709",
+    "contents": "Lantern workshop ........ 12\nBlankets and rugs ............ 118\nKettles follow-up ................ 231\nTulip beds ... 304",
+    "markup": '<row id="51"><name>lantern</name><n>12</n></row>\n<item id="87"><name>blanket</name><n>31</n></item>\n<sec id="9"><name>kettle</name><n>4</n></sec>',
+    # four letters drawn at random, two rows under a heading; codes of changes; random bytes in base64
+    "sequence": ">row_12 KLM2B\nCATGGTCAACGTGATTACGCCTAAGTGCATCCGATAGTTCAGCAATGCCGTATGACCTGAT\nGGCATTACGATCCGTTAACGGATCATGCCATAGTCGATTCAGGCTAACTGCATCGGATCA",
+    "variants": "KLM2B:c.4715A>G (p.Ser553Trp)\nTUB3:c.1132C>T (p.Gly103Ter)\nQRST:c.77G>A (p.Arg26fs)\nVAN17:c.3979T>C (p.Leu749Asp)",
+    "encoded": "q83vEjRWeJCrze8SNFZ4kKvN7xI0VniQq83vEjRWeJC7Rk1aT2pQd0xZbHg5K0ZtVHdKc1ZyZU5i\nVGhLbm9QeFl6UUxjRGZHaUprTW5PcFFyU3RVdld4WXphQmNEZUZnSGlKa0xtTm9QcVJzVHVWd1h5",
+    "navigation": "About us | Stores | Gift cards (2) | My account | Newsletter | Careers | Returns | Sitemap | Opening hours | Terms of use | Wish list | Top of page | Language",
+    "navigation_path": "About us > Stores > Gift cards (2) > My account > Newsletter > Careers > Returns > Sitemap > Opening hours > Terms of use > Wish list > Top of page > Language",
+    "navigation_lines": "About us\nStores\nGift cards (2)\nMy account\nNewsletter\nCareers\nReturns\nSitemap\nOpening hours\nTerms of use\nWish list\nTop of page\nLanguage",
     "salad": " ".join(FUNCTION_WORDS["en"].split()[:30] * 3),
-    "garbled": re.sub(r"[aeinot]", lambda m: "âÃ©¿ï€"["aeinot".index(m.group())], _PROSE_EN),
+    "garbled": re.sub(r"[aeinot]", lambda m: "âÃ©¿ï€"["aeinot".index(m.group())], _RIGHTS["en"]),
 }
+#: Each prose specimen's first sentence again and again.
+SPECIMENS |= {f"repeated_{k[6:]}": (re.split(r"(?<=\.) ", v)[0] + "\n") * 20 for k, v in SPECIMENS.items() if k.startswith("prose_")}
 
 
 def units(text: str) -> list[str]:
@@ -162,7 +201,7 @@ def _word(w: str) -> tuple[int, ...]:
     elif re.fullmatch(r"[\d.,%<>=±/:-]+", core):
         kind = "digits"
     elif core.isalpha():
-        kind = "lower" if core.islower() else "upper" if core.isupper() else "capital" if core[1:].islower() else "mixed"
+        kind = "lower" if core.islower() or core.lower() == core.upper() else "upper" if core.isupper() else "capital" if core[1:].islower() else "mixed"
     elif all(x.isalpha() for x in re.split(r"[-'’–]", core) if x):
         kind = "joined"
     else:
@@ -170,15 +209,19 @@ def _word(w: str) -> tuple[int, ...]:
     return (len(_LANGUAGES) + _KINDS.index(kind),)
 
 
-_SIZES = (_OTHER + 1, len(_LANGUAGES) + len(_KINDS), len(_LENGTHS) + 1)
+_SIZES = (_OTHER + 1, len(_LANGUAGES) + len(_KINDS), len(_LENGTHS) + 1, 2)
 
 
-def describe(text: str) -> tuple[list[np.ndarray], dict[str, float]]:
-    """The three distributions and the basic counts of a text."""
+def describe(text: str) -> tuple[list[np.ndarray], dict[str, float], bool]:
+    """The four distributions of a text, the words of a unit and the share of repeated words, and whether its letters are mostly not Latin."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    chars = np.bincount(_CLASS_OF[np.minimum(codes, 0x2FFF)], minlength=_SIZES[0]).astype(float)
+    chars = np.bincount(_class_of()[codes], minlength=_SIZES[0]).astype(float)
     upper, letters = chars[1], chars[0] + chars[1]
-    n_symbols = len(codes) - letters - chars[2] - chars[3] - chars[4]
+    beyond = codes[codes >= 0x250]
+    foreign = len(beyond) > 0 and bool((_class_of()[beyond] <= 1).sum() > 0.5 * letters)
+    if foreign and _CLOSE.search(text):
+        text = _CLOSE.sub(lambda m: " ".join(m.group()[i : i + 2] for i in range(0, len(m.group()), 2)), text.translate(_WIDE_STOPS))
+        chars[3] += text.count(" ")  # as if it were written with blanks
     if upper > 0.8 * letters > 0.45 * len(codes) and text.count(" ") > 0.08 * len(codes):
         text = text.lower()
         chars[:2] = letters, 0
@@ -191,25 +234,14 @@ def describe(text: str) -> tuple[list[np.ndarray], dict[str, float]]:
     # words in units, or in whole lines, that stood there before
     again = max(sum(len(u.split()) * (n - 1) for u, n in Counter(k.strip(" .;|-*•") for k in some).items()) for some in (found, lines))
     kinds = np.zeros(_SIZES[1])
-    ws = text.split()
-    common = 0
+    ws = _ELIDED.sub(r"\1 ", text).split()
     for w, n in Counter(ws).items():
         at = _word(w) if len(w) < 40 else (len(_LANGUAGES) + _KINDS.index("symbols"),)
         for i in at:
             kinds[i] += n / len(at)
-        if at[0] < len(_LANGUAGES):
-            common += n
-    n_words = len(ws)
-    counts = {
-        "n_words": n_words,
-        "mean_word_length": sum(map(len, ws)) / n_words,
-        "symbol_ratio": max(0.0, n_symbols) / len(codes),
-        "punctuated_lines": sum(x[-1] in ".!?\"'”’)" for x in lines) / len(lines),
-        "common_words": common / n_words,
-        "mean_unit": n_words / max(1, len(found)),
-        "repeated_share": min(1.0, again / n_words),
-    }
-    return [chars, kinds, lengths], counts
+    share = min(1.0, again / len(ws))
+    again = share**1.25  # a text that stands there twice is not yet nearer to repetition
+    return [chars, kinds, lengths, np.array([1 - again, again]) + 0.1], {"mean_unit": len(ws) / max(1, len(found)), "repeated_share": share}, foreign
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -225,40 +257,79 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 @cache
 def profiles() -> dict[str, list[np.ndarray]]:
-    return {name: describe(text)[0] for name, text in sorted(SPECIMENS.items())}
+    """The specimens' distributions, and ``prose_other``: prose whose function words are not known."""
+    out = {name: describe(text)[0] for name, text in sorted(SPECIMENS.items())}
+    chars, kinds, lengths, novelty = out["prose_en"]
+    other = kinds.copy()
+    other[len(_LANGUAGES)] += other[: len(_LANGUAGES)].sum()
+    other[: len(_LANGUAGES)] = 0
+    return out | {"prose_other": [chars, other, lengths, novelty], "repeated_other": [chars, other, lengths, out["repeated_en"][3]]}
 
 
-_COUNTS = ["n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "mean_unit", "repeated_share"]
-_COLUMNS = [*_COUNTS, "structure", "distance", "prose_distance", "is_prose"]
+_STRUCTURE = ["mean_unit", "repeated_share", "structure", "distance", "prose_distance", "is_prose"]
 
 
 def judge(texts: Sequence[str | None]) -> pd.DataFrame:
-    """Of each text the counts, nearest structure and its distance, and the distance to the nearest prose profile."""
-    blank = dict.fromkeys(_COUNTS, 0) | {"structure": "empty", "distance": None, "prose_distance": None, "is_prose": None}
+    """Of each text the nearest structure and its distance, the distance to the nearest prose profile, and what the units are like."""
+    blank = {"mean_unit": 0.0, "repeated_share": 0.0, "structure": "empty", "distance": None, "prose_distance": None, "is_prose": None}
     rows: list[dict] = [dict(blank) for _ in texts]
     full = [i for i, t in enumerate(texts) if t is not None and t.strip()]
     if full:
         own = [describe(texts[i]) for i in full]
-        parts = [np.stack([o[0][k] for o in own]) for k in range(3)]
+        parts = [np.stack([o[0][k] for o in own]) for k in range(len(_SIZES))]
         names = list(profiles())
         d = np.stack([sum(w * divergence(p, q) for w, p, q in zip(WEIGHTS, parts, profiles()[n])) for n in names], axis=1)
-        prose = np.array([n in PROSE for n in names])
+        # prose without known function words is no measure for Latin letters
+        d[np.ix_([not o[2] for o in own], [n.endswith("_other") for n in names])] = np.inf
+        prose = np.array([n.startswith("prose_") for n in names])
         for j, i in enumerate(full):
             k = int(d[j].argmin())
-            name = "repeated" if own[j][1]["repeated_share"] > REPEATED else "prose" if prose[k] else names[k]
+            name = "prose" if prose[k] else "repeated" if names[k].startswith("repeated_") else names[k]
             rows[i] = own[j][1] | {"structure": name, "distance": float(d[j, k]), "prose_distance": float(d[j, prose].min()), "is_prose": name == "prose"}
-    return pd.DataFrame(rows, columns=_COLUMNS)
+    return pd.DataFrame(rows, columns=_STRUCTURE)
+
+
+#: Blanks as both Java and SQL engines know them.
+_BLANK = r" \t\n\x0B\f\r"
+
+
+def basic_counts(text: Column) -> dict[str, Column]:
+    """The basic counts as expressions; 0 where there is nothing to count."""
+    text = F.coalesce(text, F.lit(""))
+    found = lambda p: F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+    share = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(F.lit(0.0))
+    words, lines = found(f"[^{_BLANK}]+"), found(rf"[^\n]*[^{_BLANK}][^\n]*")
+    letters = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    common = F.size(F.filter(letters, lambda w: w.isin(sorted(_KNOWN))))
+    return {
+        "n_words": words.cast("long"),
+        "mean_word_length": share(F.length(F.regexp_replace(text, f"[{_BLANK}]+", "")), words),
+        "symbol_ratio": share(F.length(F.regexp_replace(text, rf"[\p{{L}}\p{{N}}{_BLANK}]+", "")), F.length(text)),
+        "punctuated_lines": share(found(r"""[.!?"'”’)][ \t\x0B\f\r]*(?:\n|\z)"""), lines),
+        "common_words": share(common, F.size(letters)),
+    }
+
+
+_TYPES = "mean_unit double, repeated_share double, structure string, distance double, prose_distance double, is_prose boolean"
 
 
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield judge(list(pdf["text"])).assign(id=pdf["id"].to_numpy())
+        yield pd.concat([pdf.drop(columns="text").reset_index(drop=True), judge(list(pdf["text"]))], axis=1)
+
+
+def structures(docs: DataFrame) -> DataFrame:
+    """One row per document of ``docs(id, text)``: structure, distances, ``is_prose``."""
+    return spread(docs.select("id", "text")).mapInPandas(_judged, f"id long, {_TYPES}")
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """One row per document of ``docs(id, text)``: the basic counts."""
+    return docs.select("id", *[c.alias(n) for n, c in basic_counts(F.col("text")).items()])
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """One row per document of ``docs(id, text)``: basic counts, structure, distances, ``is_prose``."""
-    schema = (
-        "id long, n_words long, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, mean_unit double, "
-        "repeated_share double, structure string, distance double, prose_distance double, is_prose boolean"
-    )
-    return spread(docs.select("id", "text")).mapInPandas(_judged, schema)
+    """One row per document of ``docs(id, text)``: basic counts, structure, distances, ``is_prose``; texts are read once."""
+    counted = spread(docs.select("id", "text")).select("id", "text", *[c.alias(n) for n, c in basic_counts(F.col("text")).items()])
+    types = "n_words long, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double"
+    return counted.mapInPandas(_judged, f"id long, {types}, {_TYPES}")

@@ -98,7 +98,7 @@ def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are not prose."""
-    return quality.statistics(_documents(spark, sf_dir)).where("not is_prose").select(F.col("id").alias("doc_id"))
+    return quality.structures(_documents(spark, sf_dir)).where("not is_prose").select(F.col("id").alias("doc_id"))
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +106,16 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.statistics(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The basic counts of every document, without Python."""
+    return quality.counts(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_groups, p2_found, p3_found, p3_report, p6_found, p6_clean,
-        p7_found, p7_repeats, p7_shares, p7_tempered, p8_found, p8_statistics,
+        p7_found, p7_repeats, p7_shares, p7_tempered, p8_found, p8_statistics, p8_counts,
     )
 }
 
@@ -148,6 +153,15 @@ ORACLE["p7_found"] = r"""WITH t AS (SELECT source, max(target_share) AS share, m
     n AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'))) AS size FROM documents GROUP BY source),
     j AS (SELECT source, share, most, coalesce(size, 0) AS size, sum(coalesce(size, 0)) OVER () AS total FROM t LEFT JOIN n USING (source))
     SELECT source FROM j WHERE size * most < share * total"""
+_COMMON = ", ".join("'" + w + "'" for w in sorted(quality._KNOWN))
+_B = r" \t\n\x0B\f\r"
+ORACLE["p8_counts"] = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    n AS (SELECT doc_id, len(regexp_extract_all(t, '[^{_B}]+')) AS words, length(regexp_replace(t, '[{_B}]+', '', 'g')) AS ink, length(t) AS size,
+        length(regexp_replace(t, '[\p{{L}}\p{{N}}{_B}]+', '', 'g')) AS symbols, len(regexp_extract_all(t, '[^\n]*[^{_B}][^\n]*')) AS lines,
+        len(regexp_extract_all(t, '[.!?"\x27”’)][ \t\x0B\f\r]*(?:\n|\z)')) AS stops, regexp_extract_all(lower(t), '\p{{L}}+') AS w FROM d)
+    SELECT doc_id, CAST(words AS BIGINT) AS n_words, CASE WHEN words > 0 THEN round(ink / words, 6) ELSE 0 END AS mean_word_length,
+    CASE WHEN size > 0 THEN round(symbols / size, 6) ELSE 0 END AS symbol_ratio, CASE WHEN lines > 0 THEN round(stops / lines, 6) ELSE 0 END AS punctuated_lines,
+    CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains([{_COMMON}], x))) / len(w), 6) ELSE 0 END AS common_words FROM n"""
 _WORDSETS = _SETS.format(key="pmid", text="tiab", table="classified WHERE tiab IS NOT NULL AND pmid IS NOT NULL")
 ORACLE["p1_groups"] = f"""WITH RECURSIVE s AS ({_WORDSETS}), t AS (SELECT DISTINCT * FROM s WHERE len(w) >= 20),
     c AS (SELECT w, count(*) AS copies FROM t GROUP BY w),

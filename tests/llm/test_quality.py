@@ -40,10 +40,36 @@ def test_junk(name):
     assert not got["is_prose"], got["structure"]
 
 
-def test_counts():
-    got = Q.judge(["One two three. Four, of the five!\nno end"]).iloc[0]
-    assert got["n_words"] == 9 and got["punctuated_lines"] == 0.5 and abs(got["common_words"] - 3 / 9) < 1e-9
-    assert 0 < got["symbol_ratio"] < 0.2
+OTHER = {
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。人人有资格享有本宣言所载的一切权利和自由，不分种族、肤色、性别、语言。人人有权享有生命、自由和人身安全。",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность.",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. لكل فرد الحق في الحياة والحرية وسلامة شخصه. لا يجوز استرقاق أو استعباد أي شخص.",
+}
+OTHER_JUNK = {
+    "ru_list": "\n".join(["старый дом", "красный сад", "мост", "река", "белый снег", "лес", "поле", "дорога"]),
+    "ru_table": "\n".join(f"дом{i} | {i} | 0.{i}5 | {i * 7}" for i in range(10)),
+    "ru_repeated": "Новый мост для старого города на севере страны.\n" * 12,
+}
+
+
+@pytest.mark.parametrize("name", [*OTHER, *OTHER_JUNK])
+def test_other_scripts(name):
+    got = Q.judge([OTHER.get(name) or OTHER_JUNK[name]]).iloc[0]
+    assert got["is_prose"] == (name in OTHER), got["structure"]
+
+
+def test_letters_of_all_scripts(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(OTHER.values())], "id long, text string")
+    assert all(r["symbol_ratio"] < 0.13 for r in Q.counts(df).collect())
+
+
+def test_counts(spark):
+    df = spark.createDataFrame([(1, "One two three. Four, of the five!\nno end"), (2, None), (3, ""), (4, "  \n\t")], "id long, text string")
+    got = {r["id"]: r for r in Q.counts(df).collect()}
+    assert got[1]["n_words"] == 9 and got[1]["punctuated_lines"] == 0.5 and got[1]["common_words"] == round(3 / 9, 6)
+    assert 0 < got[1]["symbol_ratio"] < 0.2 and got[1]["mean_word_length"] == round(sum(map(len, "One two three. Four, of the five! no end".split())) / 9, 6)
+    assert all(tuple(got[i])[1:] == (0, 0.0, 0.0, 0.0, 0.0) for i in (2, 3, 4))
 
 
 def test_divergence_bounds():
