@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-_WORD = re.compile(r"[^\W_]+")
+#: A longest run of letters or digits.
+WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str | None) -> list[str]:
-    """Longest runs of letters or digits, lower-cased, in order."""
-    return _WORD.findall(text.lower()) if text else []
+    """Longest runs of letters or digits, lower-cased, in order; none for null."""
+    return WORD.findall(text.lower()) if text else []

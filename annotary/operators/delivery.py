@@ -14,13 +14,15 @@ with ``__place_`` are taken.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotary.runtime import cut
+from annotary.runtime import cut, shared_path
 
 #: Vector words in one broadcast. A word and its key take about 100 bytes in a
 #: hash relation, so a broadcast stays below about 100 MB whatever the table's size.
@@ -28,9 +30,19 @@ WORDS_PER_BROADCAST = 1_000_000
 _FILE, _WORD, _BITS, _ROW = "__place_file", "__place_word", "__place_bits", "__place_row"
 
 
+def _file(uri: Column) -> Column:
+    """Number of a file; Spark writes the root of one and the same file with one slash or with three."""
+    return F.xxhash64(F.regexp_replace(uri, r"^(\w+):/+", "$1:/"))
+
+
+def _plain_path(uri: str) -> str:
+    """A listed file's URI as a path to read, no pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
 def _place(df: DataFrame) -> DataFrame:
     meta = df.metadataColumn("_metadata")  # also right where the table has a column of that name
-    return df.withColumns({_FILE: F.xxhash64(meta["file_path"]), _ROW: meta["row_index"]})
+    return df.withColumns({_FILE: _file(meta["file_path"]), _ROW: meta["row_index"]})
 
 
 def _word() -> Column:
@@ -64,32 +76,55 @@ def read_with_vectors(
 ) -> DataFrame:
     """The table's rows without those in ``vectors``, or with ``deleted`` only those.
 
-    Files are packed into groups whose vectors hold at most ``words`` entries; each
-    group is one scan with its own broadcast, so the broadcast never grows with the table."""
+    Files are packed into groups whose vectors hold at most ``words`` entries; each group is one
+    scan with its own broadcast, and a file that holds more is scanned once for each ``words``
+    words of its rows. So the broadcast never grows with the table. The vectors of many groups
+    are written once, a folder for each group. The driver holds a number for each file, as
+    Spark's own listing does."""
     plain = spark.read.parquet(path)
-    files = plain.inputFiles()
     sizes = {r[_FILE]: r["n"] for r in vectors.groupBy(_FILE).agg(F.count("*").alias("n")).toLocalIterator()}
-    groups: list[tuple[int, list[str], list[int]]] = []
-    if sum(sizes.values()) > words:
-        by_hash = spark.createDataFrame([(f,) for f in files], "f string").select("f", F.xxhash64("f").alias("h"))
-        for f, h in ((r.f, r.h) for r in by_hash.toLocalIterator()):
-            n = sizes.get(h, 0)
-            if not groups or groups[-1][0] + n > words:
-                groups.append((0, [], []))
-            was = groups[-1]
-            groups[-1] = (was[0] + n, [*was[1], f], [*was[2], h])
-    scans = [(plain, vectors)] if len(groups) < 2 else [
-        (spark.read.schema(plain.schema).parquet(*fs), vectors.where(F.col(_FILE).isin(hs))) for _, fs, hs in groups
-    ]
+    if sum(sizes.values()) <= words:
+        return _masked(plain, plain.columns, vectors, deleted)
+    groups: list[tuple[int, list[str]]] = []
+    number: dict[int, int] = {}
+    by_hash = spark.createDataFrame([(f,) for f in plain.inputFiles()], "f string").select("f", _file(F.col("f")).alias("h"))
+    for f, h in ((r.f, r.h) for r in by_hash.toLocalIterator()):
+        n = sizes.get(h, 0)
+        if not groups or groups[-1][0] + n > words:
+            groups.append((0, []))
+        groups[-1] = (groups[-1][0] + n, [*groups[-1][1], _plain_path(f)])
+        number[h] = len(groups) - 1
+    at = shared_path(spark, "vectors")
+    named = spark.createDataFrame([(h, number[h]) for h in sizes], f"{_FILE} long, __place_group int")
+    vectors.join(named, _FILE).write.partitionBy("__place_group").parquet(at)
     parts = []
-    for rows, own in scans:
-        # the words' number is bounded above, so the hint holds at every size
-        joined = _place(rows).withColumn(_WORD, _word()).join(F.broadcast(own), [_FILE, _WORD], "left")
-        hit = F.coalesce(F.col(_BITS).bitwiseAND(_bit()) != 0, F.lit(False))
-        parts.append(joined.where(hit if deleted else ~hit).select(*[F.col(f"`{c}`") for c in plain.columns]))
+    for i, (n, fs) in enumerate(groups):
+        rows = spark.read.schema(plain.schema).parquet(*fs)
+        if not n:
+            parts += [] if deleted else [rows]
+            continue
+        own = spark.read.schema(vectors.schema).parquet(f"{at}/__place_group={i}")
+        if n <= words:
+            parts.append(_masked(rows, plain.columns, own, deleted))
+            continue
+        last = own.agg(F.max(_WORD)).head()[0]
+        # rows behind the last word with an entry are in the last range
+        for low in range(0, last + 1, words):
+            high = low + words if low + words <= last else None
+            parts.append(_masked(rows, plain.columns, own, deleted, low, high))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _masked(rows: DataFrame, columns: Sequence[str], vectors: DataFrame, deleted: bool, low: int = 0, high: int | None = None) -> DataFrame:
+    """Rows, of words ``[low, high)``, that ``vectors`` leave or take; the vectors are broadcast, their number is bounded by the caller."""
+    placed = _place(rows).withColumn(_WORD, _word())
+    for limit in [F.col(_WORD) >= low] * bool(low) + ([F.col(_WORD) < high] if high is not None else []):
+        placed, vectors = placed.where(limit), vectors.where(limit)
+    joined = placed.join(F.broadcast(vectors), [_FILE, _WORD], "left")
+    hit = F.coalesce(F.col(_BITS).bitwiseAND(_bit()) != 0, F.lit(False))
+    return joined.where(hit if deleted else ~hit).select(*[F.col(f"`{c}`") for c in columns])
+
+
 def one_per_key(spark: SparkSession, path: str, key: str, order: Sequence[str], deleted: bool = False) -> DataFrame:
     """The table at ``path`` with one row per non-null ``key``: the least in ``order``, nulls last.
 

@@ -491,13 +491,12 @@ def written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-05, O-20, O-23: the events through an incremental file stream; a second run adds nothing."""
     import os
-    import uuid
 
-    from annotary.runtime import shared_dir
+    from annotary.runtime import shared_path
     from annotary.streaming.ingest import run_new
 
     schema = table(spark, sf_dir, "events").schema
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     # the table is one file of the data folder, or a folder of files
     one = f"{os.path.abspath(sf_dir)}/events.parquet"
     source, pattern = (one, "*.parquet") if os.path.isdir(one) else (os.path.dirname(one), "events.parquet")

@@ -2,8 +2,8 @@
 
 ``cut`` ends a lineage by writing a Parquet table into the folder the cluster
 names in ``spark.checkpoint.dir``. That folder is shared, so the table outlives
-any executor. Only where the setting is absent (local tests) a folder of this
-process is used.
+any executor. Where the setting is absent, a local session (as in tests) uses a folder of
+this process, and a cluster is an error: its executors would each write to their own disk.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="annotary-")
@@ -48,13 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of what was written."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; ``release`` deletes what is there."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut_path(df: DataFrame, name: str) -> str:
+    """Write ``df`` to the shared folder and return where it is."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return a scan of what was written."""
+    return df.sparkSession.read.schema(df.schema).parquet(cut_path(df, name))
 
 
 def release(spark: SparkSession) -> int:

@@ -45,3 +45,21 @@ def test_empty_table(spark, tmp_path):
     to = str(tmp_path / "none")
     spark.createDataFrame([], "delivery_id long, pmid long").write.parquet(to)
     assert D.one_per_key(spark, to, "pmid", ("delivery_id",)).count() == 0
+
+
+def test_groups_and_ranges_of_vectors(spark, tmp_path):
+    """Vectors in many groups, and a file with more of them than a broadcast may hold."""
+    big = spark.range(5000).selectExpr("id as n", "cast(id % 700 as bigint) as k", "concat('x', id) as wide").coalesce(1)
+    small = spark.range(5000, 5200).selectExpr("id as n", "cast(id % 900 as bigint) as k", "concat('x', id) as wide").repartition(3)
+    path = f"{tmp_path}/a b%c"
+    big.write.parquet(path)
+    small.write.mode("append").parquet(path)
+    rows = [(r["k"], r["n"]) for r in spark.read.parquet(path).collect()]
+    want = {k: min(n for j, n in rows if j == k) for k, _ in rows}
+    vectors = D.deletion_vectors(spark, path, "k", ["n"])
+    for words in (7, 60, 1000):
+        kept = D.read_with_vectors(spark, path, vectors, words=words)
+        gone = D.read_with_vectors(spark, path, vectors, deleted=True, words=words)
+        got = [(r["k"], r["n"]) for r in kept.collect()]
+        assert sorted(got) == sorted(want.items()) and kept.columns == ["n", "k", "wide"]
+        assert sorted(got + [(r["k"], r["n"]) for r in gone.collect()]) == sorted(rows)
