@@ -1,24 +1,26 @@
 """Records that occur, exactly or almost, on both sides of a split.
 
-Records are normalised in three forms, their words in order, their different words sorted and
-those in the order of a hash, and each form is cut into content-defined chunks: a hash rolling over the last characters is
-looked at where a word ends, and a chunk ends where it is divisible. An edit moves the cuts
-near it only, so the remaining chunks of an edited, extended or reordered record keep their
-digests. Digests are joined across the sides and the lengths of shared chunks are summed into
-overlap fractions.
+A record's words are normalised in four forms: in order, and the different words in the order of
+each of three hashes. Each form is cut into content-defined chunks: a hash rolls over
+the last two words, and a chunk ends where its value is divisible. An edit moves the cuts near
+it only, so the remaining chunks of an edited, extended or reordered record keep their digests.
+Digests are joined across the sides and the lengths of shared chunks are summed into overlap
+fractions. All of this is read off the text in one pass; digests, not texts, are joined.
 
 The join is kept small without losing a pair: each form's chunks are ordered from rare to
 common, and the first of them, up to ``1 - TAIL`` of its length, are joined, and any that at
 most ``RARE`` records have. Two records that share more than ``TAIL`` of the longer one's length
-in a form, or a rare chunk, share at least one of those. All pairs that do get the sum over all chunks and the exact similarity of their word sets.
+in a form, or a rare chunk, share at least one of those. Chunks of very many records are salted:
+their left rows are dealt out, their right rows copied. Pairs whose sketches of 128 one-bit
+MinHash values differ too much for the threshold are dropped inside the join. The others get
+the sum over all chunks of the text, and the exact similarity of their word sets decides.
 
 Recall: the exact condition is on word sets; a pair is missed if in every form it shares no
-chunk that is rare or among the first. In a simulation (each of the 2,233 distinct texts of
-sf0.1 with an edited copy; words substituted, deleted, inserted or a mixture, each in order and
-fully reordered) no pair at a similarity of 0.70 to 0.735 in order was missed, and reordered
-1 of 1,864 of the mixture, none of the others; none of any kind at 0.74 to 0.775. In a table
-where the same chunks occur more often, fewer are rare. The sketch test, made at thresholds of
-0.7 and above, loses about 2 in 100,000 pairs at 0.7 besides.
+chunk that is rare or among the first. In a simulation (each different text of sf0.1 with an
+edited copy that ends at a similarity of 0.70 to 0.735, about 2,200 pairs a kind) of words
+substituted, deleted, inserted or a mixture none was missed in order, and one of the deletions
+fully reordered. The sketch test loses about 2 in 100,000 pairs at the threshold besides.
+``exact=True`` takes the candidates of ``neardup.exact_candidates`` instead, which loses none.
 
 Defined cases: rows without text, split or id, and with a split of neither side, are in no pair; nor are
 texts with fewer than ``min_words`` different words. Equal texts on both sides are a pair
@@ -29,111 +31,173 @@ pairs of their own. An empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotary.llm.neardup import agree, sketches, word_set
-from annotary.llm.words import words
-from annotary.runtime import cut, spread
+from annotary.functions.tokens import words
+from annotary.llm.neardup import BITS, MinHash, WordHashes, agree, agree_limit, exact_candidates, similarity, sketch
+from annotary.operators.delivery import one_per_key
+from annotary.runtime import cut, cut_path, spread
 
-#: Characters the rolling hash sees, mean number of words between cuts, and most words in a chunk.
-WINDOW, MEAN_WORDS, MOST_WORDS = 6, 3, 64
+#: Mean number of words between cuts.
+MEAN_WORDS = 4
 TAIL, RARE = 0.15, 50
-
-
-def chunks(tokens: Sequence[str]) -> list[tuple[int, int]]:
-    """Digest and length in words of each content-defined chunk of a word sequence."""
-    out: list[tuple[int, int]] = []
-    text = " ".join(tokens)
-    begin = end = count = 0
-    for w in tokens:
-        end += len(w)
-        count += 1
-        # the value a hash rolled over the last WINDOW characters has here
-        if zlib.crc32(text[max(0, end - WINDOW) : end].encode()) % MEAN_WORDS == 0 or count == MOST_WORDS:
-            out.append((_digest(text[begin:end]), count))
-            begin, count = end + 1, 0
-        end += 1
-    if count:
-        out.append((_digest(text[begin : end - 1]), count))
-    return out
-
-
-def _digest(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little", signed=True)
-
-
-def forms(tokens: Sequence[str]) -> list[list[str]]:
-    """A record's normal forms: as it stands, its different words sorted, and in the order of a hash.
-
-    The last two do not depend on the order of a record; an edit that breaks a chunk of one seldom breaks the same words in the other."""
-    return [list(tokens), sorted(set(tokens)), sorted(set(tokens), key=lambda w: (zlib.crc32(w.encode()), w))]
-
-
-def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for cid, text in zip(pdf["cid"], pdf["text"]):
-            for form, tokens in enumerate(forms(words(text))):
-                found = dict(chunks(tokens))  # a chunk that recurs in a record counts once
-                rows.append((cid, form, list(found), list(found.values())))
-        yield pd.DataFrame(rows, columns=["cid", "form", "chunk", "length"])
+#: Left rows of one chunk in a task of the join.
+SALT_ROWS = 100_000
+_U = np.uint64
+#: Base of the rolling hash, its inverse, and factors that mix bits (odd numbers).
+_BASE, _MIX = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+_ORDERS = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
+FORMS = 4
+_INVERSE = _U(pow(int(_BASE), -1, 2**64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(32))) * _MIX
+    return x ^ (x >> _U(32))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def chunks(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, length in words and record of each content-defined chunk of word hashes; ``starts`` are where records begin.
+
+    Digests come from differences of one running polynomial, so each word is hashed once."""
+    n = len(tokens)
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    before = np.concatenate([np.zeros(1, np.uint64), tokens[:-1]])
+    before[starts] = 0
+    ends = _mixed(tokens * _BASE + before) % _U(MEAN_WORDS) == 0
+    ends[np.append(starts[1:], n) - 1] = True
+    ends = np.flatnonzero(ends)
+    begins = np.append(0, ends[:-1] + 1)
+    running = np.add.accumulate(tokens * _powers(_BASE, n))
+    digest = (running[ends] - np.where(begins > 0, running[begins - 1], _U(0))) * _powers(_INVERSE, n)[begins]
+    return _mixed(digest), ends - begins + 1, np.searchsorted(starts, begins, "right") - 1
+
+
+def forms(tokens: np.ndarray) -> list[np.ndarray]:
+    """A record's normal forms: as it stands, its different words in the order of their hashes, and in two more orders.
+
+    The last three do not depend on the order of a record; an edit that breaks a chunk of one seldom breaks the same words in another."""
+    different = np.unique(tokens)
+    return [tokens, different, *(different[np.argsort(different * x)] for x in _ORDERS)]
+
+
+def chunk_lists(records: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each record the digests of all forms' chunks, the form in the two lowest bits, and their lengths. A chunk that recurs counts once."""
+    found = []
+    for i, parts in enumerate(zip(*map(forms, records))):
+        digest, length, record = chunks(np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])]))
+        found.append(((digest & ~_U(3)) | _U(i), length, record))
+    digest, length, record = map(np.concatenate, zip(*found))
+    order = np.lexsort((digest, record))
+    digest, length, record = digest[order], length[order], record[order]
+    first = np.ones(len(digest), bool)
+    first[1:] = (digest[1:] != digest[:-1]) | (record[1:] != record[:-1])
+    bounds = np.searchsorted(record[first], np.arange(1, len(records)))
+    return np.split(digest[first].view(np.int64), bounds), np.split(length[first].astype(np.int32), bounds)
+
+
+_RECORD = "id long, is_left boolean, digest binary, hashes array<long>, s1 long, s2 long, chunk array<long>, length array<int>"
+
+
+def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, kind)))
+
+
+def _records(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, minhash = WordHashes(), MinHash(BITS)
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+            ids, sides, records, sets = [], [], [], []
+            for i, side, text in zip(*(batch.column(c).to_pylist() for c in ("id", "is_left", "text"))):
+                tokens = hashed(words(text))
+                different = np.unique(tokens)
+                if len(different) >= min_words:
+                    ids.append(i)
+                    sides.append(side)
+                    records.append(tokens)
+                    sets.append(different)
+            if not ids:
+                continue
+            s1, s2 = sketch(minhash(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])))
+            digests = [hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in records]
+            chunk, length = chunk_lists(records)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()), pa.array(sides, pa.bool_()), pa.array(digests, pa.binary()), _lists([x.view(np.int64) for x in sets], np.int64),
+                    pa.array(s1), pa.array(s2), _lists(chunk, np.int64), _lists(length, np.int32),
+                ],
+                ["id", "is_left", "digest", "hashes", "s1", "s2", "chunk", "length"],
+            )
+
+    return run
+
+
+def _met(classes: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
+    """``(l, r)``: pairs of classes across the sides that share a chunk joined and have sketches near enough."""
+    flat = classes.select("cid", F.explode(F.arrays_zip("chunk", "length")).alias("c")).select("cid", F.col("c.chunk").alias("chunk"), F.col("c.length").alias("length"))
+    common = flat.groupBy("chunk").agg(F.count("*").alias("df")).where("df > 1")
+    # chunks of one record only come first in its order, so their length is all but that of the others
+    part = lambda i: F.aggregate(
+        F.filter(F.arrays_zip("chunk", "length"), lambda x: x["chunk"].bitwiseAND(3) == i), F.lit(0), lambda s, x: s + x["length"]
+    )
+    narrow = classes.select("cid", "s1", "s2", F.array(*map(part, range(FORMS))).alias("sizes")).join(sides, "cid")
+    shared = flat.join(common, "chunk").withColumn("form", F.col("chunk").bitwiseAND(3).cast("int")).repartition("cid")
+    by_form = Window.partitionBy("cid", "form")
+    rows = shared.withColumns({"upto": F.sum("length").over(by_form.orderBy("df", "chunk")), "all": F.sum("length").over(by_form)}).join(narrow, "cid")
+    rows = rows.withColumn("total", F.element_at("sizes", F.col("form") + 1)).withColumn("before", F.col("total") - F.col("all") + F.col("upto") - F.col("length"))
+    rows = rows.where((F.col("before") <= (1 - TAIL) * F.col("total")) | (F.col("df") <= RARE))
+    rows = cut(rows.select("cid", "chunk", "df", "total", "on_left", "on_right", "s1", "s2"), "joined").withColumn("salts", F.ceil(F.col("df") / SALT_ROWS).cast("int"))
+    a = rows.where("on_left").select("chunk", F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"), F.col("cid").alias("l"), F.col("total").alias("tl"), F.col("s1").alias("l1"), F.col("s2").alias("l2"))
+    b = rows.where("on_right").select("chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("cid").alias("r"), F.col("total").alias("tr"), F.col("s1").alias("r1"), F.col("s2").alias("r2"))
+    # texts whose lengths differ more than the share allows cannot pass
+    met = a.join(b, ["chunk", "salt"]).where("l <> r").where(F.least("tl", "tr") >= TAIL * F.greatest("tl", "tr"))
+    return met.where(agree(agree_limit(threshold), F.col("l1"), F.col("r1"), F.col("l2"), F.col("r2"))).select("l", "r").distinct()
 
 
 def overlaps(
-    rows: DataFrame, left: Sequence[str] = ("train",), right: Sequence[str] = ("validation", "test"), threshold: float = 0.7, min_words: int = 20
+    rows: DataFrame, left: Sequence[str] = ("train",), right: Sequence[str] = ("validation", "test"), threshold: float = 0.7, min_words: int = 20, exact: bool = False
 ) -> DataFrame:
     """``(id_l, id_r, overlap, similarity)`` of ``rows(id, text, split)``: each pair across the sides once.
 
     ``overlap`` is the shared chunks' share of the right record's length."""
-    used = rows.where("id is not null and text is not null").where(F.col("split").isin([*left, *right]))
-    used = used.select("id", "text", F.col("split").isin([*left]).alias("is_left"), word_set(F.col("text")).alias("words")).where(F.size("words") >= max(1, min_words))
-    normal = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
-    used = used.withColumn("text", normal).withColumn("digest", F.unhex(F.md5("text")))
-    # equal texts are one class; its number is fixed by writing it
-    classes = cut(
-        used.groupBy("digest")
-        .agg(F.first("text").alias("text"), F.first("words").alias("words"), F.max("is_left").alias("on_left"), F.max(~F.col("is_left")).alias("on_right"))
-        .withColumn("cid", F.monotonically_increasing_id()),
-        "classes",
-    )
-    members = cut(used.select("digest", "id", "is_left").join(classes.select("digest", "cid"), "digest").select("cid", "id", "is_left"), "members")
-    parts = cut(spread(classes.select("cid", "text")).mapInPandas(_chunked, "cid long, form int, chunk array<long>, length array<int>"), "chunks")
-    flat = parts.select("cid", "form", F.explode(F.arrays_zip("chunk", "length")).alias("c")).select("cid", "form", F.col("c.chunk").alias("chunk"), F.col("c.length").alias("length"))
-    common = flat.groupBy("form", "chunk").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("cid", "form").orderBy("df", "chunk")
-    total = F.sum("length").over(Window.partitionBy("cid", "form"))
-    rare = (
-        flat.join(common, ["form", "chunk"])
-        .withColumns({"before": F.sum("length").over(order) - F.col("length"), "total": total})
-        .where((F.col("before") <= (1 - TAIL) * F.col("total")) | (F.col("df") <= RARE))
-        .where("df > 1")
-        .join(classes.select("cid", "on_left", "on_right"), "cid")
-        .join(sketches(classes), "cid")
-    )
-    rare = cut(rare.select("cid", "form", "chunk", "total", "on_left", "on_right", "s1", "s2"), "rare")
-    a = rare.where("on_left").select("form", "chunk", F.col("cid").alias("l"), F.col("total").alias("tl"), F.col("s1").alias("l1"), F.col("s2").alias("l2"))
-    b = rare.where("on_right").select("form", "chunk", F.col("cid").alias("r"), F.col("total").alias("tr"), F.col("s1").alias("r1"), F.col("s2").alias("r2"))
-    # texts whose lengths differ more than the share allows cannot pass; nor do nearly all that share common chunks
-    # only, which their sketches tell while the chunks are joined
-    met = a.join(b, ["form", "chunk"]).where("l <> r").where(F.least("tl", "tr") >= TAIL * F.greatest("tl", "tr"))
-    if threshold >= 0.7:
-        met = met.where(agree(F.col("l1"), F.col("r1"), F.col("l2"), F.col("r2")))
-    met = met.select("l", "r").distinct()
-    full = classes.select("cid", "words").join(parts.where("form = 0"), "cid")
-    side = lambda n: full.select(F.col("cid").alias(n), F.struct("words", "chunk", "length").alias(f"v{n}"))
-    both = met.join(side("l"), "l").join(side("r"), "r")
-    shared = F.size(F.array_intersect("vl.words", "vr.words"))
-    own = F.aggregate(F.arrays_zip("vr.chunk", "vr.length"), F.lit(0), lambda s, x: s + F.when(F.array_contains("vl.chunk", x["chunk"]), x["length"]).otherwise(0))
-    whole = F.aggregate("vr.length", F.lit(0), lambda s, x: s + x)
-    near = both.select("l", "r", (own / whole).alias("overlap"), (shared / (F.size("vl.words") + F.size("vr.words") - shared)).alias("similarity"))
-    near = near.where(F.col("similarity") >= threshold)
+    spark = rows.sparkSession
+    used = rows.where("id is not null and text is not null").where(F.col("split").isin([*left, *right])).select("id", F.col("split").isin([*left]).alias("is_left"), "text")
+    read = spread(used).mapInArrow(_records(max(1, min_words)), _RECORD).withColumn("cid", F.monotonically_increasing_id())
+    # numbers are fixed by writing; the least of equal texts stands for their class
+    path = cut_path(read, "records")
+    classes = one_per_key(spark, path, "digest", ["cid"])
+    narrow = spark.read.parquet(path).select("digest", "id", "is_left", "cid")
+    heads = narrow.groupBy("digest").agg(F.min("cid").alias("cid"), F.max("is_left").alias("on_left"), F.max(~F.col("is_left")).alias("on_right"))
+    members = cut(narrow.drop("cid").join(heads, "digest").select("cid", "id", "is_left"), "members")
+    sides = heads.select("cid", "on_left", "on_right")
+    if exact:
+        pairs = exact_candidates(classes, threshold)
+        both = pairs.select(F.col("a").alias("l"), F.col("b").alias("r")).unionByName(pairs.select(F.col("b").alias("l"), F.col("a").alias("r")))
+        met = both.join(sides.where("on_left").select(F.col("cid").alias("l")), "l", "left_semi").join(sides.where("on_right").select(F.col("cid").alias("r")), "r", "left_semi")
+    else:
+        met = _met(classes, sides, threshold)
+    text = F.filter(F.arrays_zip("chunk", "length"), lambda x: x["chunk"].bitwiseAND(3) == 0)
+    full = classes.select("cid", F.struct("hashes", text.alias("parts")).alias("v"))
+    side = lambda n: full.select(F.col("cid").alias(n), F.col("v").alias(f"v{n}"))
+    both = met.join(side("l"), "l").join(side("r"), "r").withColumn("similarity", similarity(F.col("vl.hashes"), F.col("vr.hashes"))).where(F.col("similarity") >= threshold)
+    own = F.aggregate("vr.parts", F.lit(0), lambda s, x: s + F.when(F.array_contains("vl.parts.chunk", x["chunk"]), x["length"]).otherwise(0))
+    whole = F.aggregate("vr.parts", F.lit(0), lambda s, x: s + x["length"])
+    near = both.select("l", "r", (own / whole).alias("overlap"), "similarity")
     one = F.lit(1.0)
-    same = classes.where("on_left and on_right").select(F.col("cid").alias("l"), F.col("cid").alias("r"), one.alias("overlap"), one.alias("similarity"))
+    same = sides.where("on_left and on_right").select(F.col("cid").alias("l"), F.col("cid").alias("r"), one.alias("overlap"), one.alias("similarity"))
     pairs = near.unionByName(same)
     end = lambda flag, n: members.where(flag).select(F.col("cid").alias(n), F.col("id").alias(f"id_{n}"))
     return pairs.join(end("is_left", "l"), "l").join(end("not is_left", "r"), "r").select("id_l", "id_r", "overlap", "similarity")

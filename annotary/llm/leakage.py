@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotary.llm.words import WORD, words
+from annotary.functions.tokens import WORD, words
 from annotary.runtime import spread
 
 #: Consecutive words that make a leak, and words of items in one automaton.

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+
+from annotary.functions.tokens import words
 from annotary.llm import crosssplit as C
-from annotary.llm.words import words
+from annotary.llm.neardup import WordHashes
 from tests_llm_helpers import versions
 
 SCHEMA = "id long, text string, split string, source string, cid long, chunk string"
@@ -49,13 +52,42 @@ def test_edge_cases(spark):
     assert C.overlaps(df.limit(0)).count() == 0 and C.report(df.limit(0), got).count() == 0
 
 
+def cut_up(*records):
+    hashed = WordHashes()
+    tokens = [hashed(t) for t in records]
+    return C.chunks(np.concatenate(tokens), np.cumsum([0, *map(len, tokens[:-1])]))
+
+
 def test_edits_move_near_cuts_only():
     rng = random.Random(1)
     tokens = [f"word{rng.randrange(5000)}" for _ in range(2000)]
     edited = [*tokens[:500], "inserted", *tokens[500:]]
-    a, b = {c for c, _ in C.chunks(tokens)}, {c for c, _ in C.chunks(edited)}
-    assert len(a - b) <= 2 and sum(n for _, n in C.chunks(tokens)) == 2000
-    assert max(n for _, n in C.chunks(["same"] * 1000)) <= C.MOST_WORDS and C.chunks([]) == []
+    digest, length, record = cut_up(tokens, edited)
+    a, b = set(digest[record == 0]), set(digest[record == 1])
+    assert len(a - b) <= 3 and length[record == 0].sum() == 2000 and 3 < length.mean() < 5
+    assert len(C.chunks(np.empty(0, np.uint64), np.empty(0, np.int64))[0]) == 0
+
+
+def test_chunks_of_a_batch_are_those_of_each_record():
+    """Digests do not depend on what stands before a record in its batch."""
+    rng = random.Random(2)
+    records = [[f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 90))] for _ in range(40)]
+    digest, length, record = cut_up(*records)
+    for i, r in enumerate(records):
+        alone = cut_up(r)
+        assert list(digest[record == i]) == list(alone[0]) and list(length[record == i]) == list(alone[1])
+    lists, sizes = C.chunk_lists([WordHashes()(r) for r in records])
+    assert len(lists) == len(sizes) == 40 and all(len(set(x)) == len(x) == len(n) for x, n in zip(lists, sizes))
+
+
+def test_salted_chunks_and_exact_way(spark, monkeypatch):
+    rng = random.Random(7)
+    data = [(i, t, rng.choice(["train", "validation", "test"]), "s") for i, t in enumerate(versions(9, 4, 30))]
+    want = brute(data)
+    monkeypatch.setattr(C, "SALT_ROWS", 5)
+    assert {(r["id_l"], r["id_r"]) for r in run(spark, data)[1].collect()} == want
+    df = spark.createDataFrame([(*d, 1, "x") for d in data], SCHEMA)
+    assert {(r["id_l"], r["id_r"]) for r in C.overlaps(df, exact=True).collect()} == want
 
 
 def test_recall_of_reordered_records(spark):

@@ -1,12 +1,16 @@
 """Near-duplicates against brute force, crowded regions included."""
 
 import itertools
+import math
+import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from annotary.llm import neardup as N
-from annotary.llm.words import words
+from annotary.functions.tokens import words
 from tests_llm_helpers import versions
 
 
@@ -22,8 +26,8 @@ def brute(data, least=0.7, min_words=20):
 SCHEMA = "id long, text string"
 
 
-def found(spark, data):
-    return {tuple(r) for r in N.near_pairs(spark.createDataFrame(data, SCHEMA)).collect()}
+def found(spark, data, **options):
+    return {tuple(r) for r in N.near_pairs(spark.createDataFrame(data, SCHEMA), **options).collect()}
 
 
 def test_against_brute_force(spark):
@@ -32,47 +36,68 @@ def test_against_brute_force(spark):
     assert len(want) > 200 and found(spark, data) == want
 
 
-def test_crowded_regions(spark, monkeypatch):
+def edited(threshold, n=400, size=80):
+    """Pairs whose similarity is at the threshold or a little above, and single texts."""
+    rng = random.Random(5)
+    data = []
+    for i in range(n):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        keep = math.ceil(2 * size * threshold / (1 + threshold))
+        b = a[:keep] + [f"w{rng.randrange(10**6)}" for _ in range(size - keep)]
+        rng.shuffle(b)
+        data += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    return data
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.9])
+def test_recall_at_each_threshold(spark, threshold):
+    """The layout follows the threshold: pairs at the limit are found as often as stated."""
+    data = edited(threshold)
+    want = {(2 * i, 2 * i + 1) for i in range(400)}
+    got = found(spark, data, threshold=threshold)
+    assert got <= want and len(got) >= 0.98 * len(want)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.7])
+def test_exact_way(spark, threshold):
+    data = [*edited(threshold, 100), *((10_000 + i, t) for i, t in enumerate(versions(4, 10, 5)))]
+    assert found(spark, data, threshold=threshold, exact=True) == brute(data, threshold)
+
+
+def test_crowded_regions():
     # the operators run in worker processes, so the functions are exercised here
     texts = versions(2, 3, 40)
     sets = [sorted(set(words(t))) for t in texts]
-    import hashlib
-
-    import pyarrow as pa
-
-    h = lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little", signed=True)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array([[h(w) for w in s] for s in sets], pa.list_(pa.int64()))], ["cid", "hashes"])
-    forest = pa.Table.from_batches(N._keys(N.TREES, N.DEPTH)(iter([batch]))).sort_by([(c, "ascending") for c in ("tree", "first", "further", "cid")])
+    hashed = N.WordHashes()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array([hashed(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cid", "hashes"])
     want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.7}
     for small, block, held in ((48, 1024, 262_144), (4, 6, 262_144), (4, 6, 16), (2, 1024, 5)):
-        monkeypatch.setattr(N, "SMALL", small)
-        monkeypatch.setattr(N, "BLOCK", block)
-        monkeypatch.setattr(N, "HELD", held)
+        f = N.forest(0.7, small=small, block=block, held=held)
+        rows = pa.Table.from_batches(N._keys(f)(iter([batch]))).sort_by([("key", "ascending"), ("cid", "ascending")])
         pairs, crowded = set(), []
-        for b in N._neighbours(iter(forest.to_batches(max_chunksize=7))):
+        for b in N._neighbours(f)(iter(rows.to_batches(max_chunksize=7))):
             for r in b.to_pylist():
                 if r["a"] is not None:
                     pairs.add((r["a"], r["b"]))
                 else:
                     crowded.append(r)
-        import pandas as pd
-
         rest = pd.DataFrame(crowded)
-        for _, g in rest.groupby(["tree", "first", "further"]) if len(rest) else []:
+        for _, g in rest.groupby("key") if len(rest) else []:
             blocks = -(-len(g) // block)
             own = g["cid"] % blocks
             for lo in range(blocks):
                 for hi in range(lo, blocks):
                     part = g.assign(own=own)[own.isin([lo, hi])]
-                    pairs |= {tuple(map(int, p)) for p in N._block_pairs((0, 0, 0, lo, hi), part).to_numpy()}
+                    pairs |= {tuple(map(int, p)) for p in N._block_pairs(f.agree)((0, lo, hi), part).to_numpy()}
         assert want <= pairs, (small, block, held)
         assert all(a < b for a, b in pairs)
 
 
-def test_block_path_in_spark(spark):
-    """Crowded rows through the salted comparison of blocks."""
-    data = [(i, f"{'common ' * 3}" + " ".join(f"c{j}" for j in range(40)) + f" own{i}") for i in range(60)]
-    assert found(spark, data) == brute(data)
+@pytest.mark.parametrize("limits", [{"small": 2, "block": 7}, {"small": 4, "block": 16, "held": 20}])
+def test_block_path_in_spark(spark, limits):
+    """Crowded rows through the salted comparison of blocks: regions of 150 classes, blocks of few."""
+    data = [(i, " ".join(f"c{j}" for j in range(40)) + f" own{i}") for i in range(150)] + [(1000 + i, t) for i, t in enumerate(versions(6, 5, 4))]
+    assert found(spark, data, **limits) == brute(data)
 
 
 def test_edge_cases(spark):
@@ -99,12 +124,15 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 1 for i in range(1, 61)) and got[101] == 100
 
 
-@pytest.mark.parametrize("s", [0.7, 0.75, 0.8])
-def test_stated_recall(s):
-    assert 1 - (1 - s**N.DEPTH) ** N.TREES >= {0.7: 0.997, 0.75: 0.9999, 0.8: 0.999999}[s]
+@pytest.mark.parametrize("s", [0.45, 0.5, 0.6, 0.7, 0.75, 0.8, 0.95, 1.0])
+def test_layout(s):
+    f = N.forest(s)
+    assert 1 - (1 - s**f.depth) ** f.trees >= N.RECALL and f.trees * f.depth <= N.VALUES and f.depth * f.bits + 6 <= 64
+    with pytest.raises(ValueError):
+        N.forest(0.01)
 
 
 def test_sketch_counts_bits_of_negative_numbers():
     a, b = np.array([-1], np.int64), np.array([-2], np.int64)
-    assert N._alike(a, b, a, a)[0]
-    assert not N._alike(np.array([0], np.int64), a, a, a)[0]
+    assert N._alike(92, a, b, a, a)[0]
+    assert not N._alike(92, np.array([0], np.int64), a, a, a)[0]
