@@ -35,6 +35,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +109,7 @@ def chunk_lists(records: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.nd
     return np.split(digest[first].view(np.int64), bounds), np.split(length[first].astype(np.int32), bounds)
 
 
-_RECORD = "id long, is_left boolean, digest binary, hashes array<long>, s1 long, s2 long, chunk array<long>, length array<int>"
+_RECORD = "id long, is_left boolean, digest binary, hashes array<long>, s1 long, s2 long, chunk array<long>, length array<int>, sizes array<int>"
 
 
 def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
@@ -116,30 +117,54 @@ def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, kind)))
 
 
-def _records(min_words: int):
+def _records(min_words: int, most: int = 1 << 20):
+    """Records with their chunks. A text that a task has met before keeps only its digest: an earlier row stands for its class.
+
+    ``most`` texts are remembered; beyond that they are forgotten and written in full again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, minhash = WordHashes(), MinHash(BITS)
+        seen: dict[bytes, bytes | None] = {}
+        none = np.empty(0, np.uint64)
         for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
-            ids, sides, records, sets = [], [], [], []
+            ids, sides, digests, full = [], [], [], []
+            records: list[np.ndarray] = []
+            sets: list[np.ndarray] = []
+            if len(seen) > most:
+                seen.clear()
             for i, side, text in zip(*(batch.column(c).to_pylist() for c in ("id", "is_left", "text"))):
-                tokens = hashed(words(text))
-                different = np.unique(tokens)
-                if len(different) >= min_words:
-                    ids.append(i)
-                    sides.append(side)
+                key = xxhash.xxh3_128_digest(text)
+                new = key not in seen
+                if new:
+                    tokens = hashed(words(text))
+                    different = np.unique(tokens)
+                    seen[key] = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(different) >= min_words else None
+                if seen[key] is None:
+                    continue
+                ids.append(i)
+                sides.append(side)
+                digests.append(seen[key])
+                full.append(new)
+                if new:
                     records.append(tokens)
                     sets.append(different)
             if not ids:
                 continue
-            s1, s2 = sketch(minhash(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])))
-            digests = [hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in records]
-            chunk, length = chunk_lists(records)
+            at = np.flatnonzero(full)
+            s1, s2 = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            chunk, length, sizes = ([none.view(np.int64)] * len(ids), [none.astype(np.int32)] * len(ids), [none.astype(np.int32)] * len(ids))
+            different = [none.view(np.int64)] * len(ids)
+            if len(at):
+                s1[at], s2[at] = sketch(minhash(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])))
+                for j, c, n, d in zip(at, *chunk_lists(records), sets):
+                    chunk[j], length[j], different[j] = c, n, d.view(np.int64)
+                    sizes[j] = np.bincount(c & 3, n, FORMS).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array(sides, pa.bool_()), pa.array(digests, pa.binary()), _lists([x.view(np.int64) for x in sets], np.int64),
-                    pa.array(s1), pa.array(s2), _lists(chunk, np.int64), _lists(length, np.int32),
+                    pa.array(ids, pa.int64()), pa.array(sides, pa.bool_()), pa.array(digests, pa.binary()), _lists(different, np.int64), pa.array(s1), pa.array(s2),
+                    _lists(chunk, np.int64), _lists(length, np.int32), _lists(sizes, np.int32),
                 ],
-                ["id", "is_left", "digest", "hashes", "s1", "s2", "chunk", "length"],
+                ["id", "is_left", "digest", "hashes", "s1", "s2", "chunk", "length", "sizes"],
             )
 
     return run
@@ -149,11 +174,8 @@ def _met(classes: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
     """``(l, r)``: pairs of classes across the sides that share a chunk joined and have sketches near enough."""
     flat = classes.select("cid", F.explode(F.arrays_zip("chunk", "length")).alias("c")).select("cid", F.col("c.chunk").alias("chunk"), F.col("c.length").alias("length"))
     common = flat.groupBy("chunk").agg(F.count("*").alias("df")).where("df > 1")
-    # chunks of one record only come first in its order, so their length is all but that of the others
-    part = lambda i: F.aggregate(
-        F.filter(F.arrays_zip("chunk", "length"), lambda x: x["chunk"].bitwiseAND(3) == i), F.lit(0), lambda s, x: s + x["length"]
-    )
-    narrow = classes.select("cid", "s1", "s2", F.array(*map(part, range(FORMS))).alias("sizes")).join(sides, "cid")
+    # chunks of one record only come first in its order; their length is all but that of the others
+    narrow = classes.select("cid", "s1", "s2", "sizes").join(sides, "cid")
     shared = flat.join(common, "chunk").withColumn("form", F.col("chunk").bitwiseAND(3).cast("int")).repartition("cid")
     by_form = Window.partitionBy("cid", "form")
     rows = shared.withColumns({"upto": F.sum("length").over(by_form.orderBy("df", "chunk")), "all": F.sum("length").over(by_form)}).join(narrow, "cid")
@@ -189,12 +211,13 @@ def overlaps(
         met = both.join(sides.where("on_left").select(F.col("cid").alias("l")), "l", "left_semi").join(sides.where("on_right").select(F.col("cid").alias("r")), "r", "left_semi")
     else:
         met = _met(classes, sides, threshold)
-    text = F.filter(F.arrays_zip("chunk", "length"), lambda x: x["chunk"].bitwiseAND(3) == 0)
-    full = classes.select("cid", F.struct("hashes", text.alias("parts")).alias("v"))
+    full = classes.select("cid", F.struct("hashes", "chunk", "length").alias("v"))
     side = lambda n: full.select(F.col("cid").alias(n), F.col("v").alias(f"v{n}"))
     both = met.join(side("l"), "l").join(side("r"), "r").withColumn("similarity", similarity(F.col("vl.hashes"), F.col("vr.hashes"))).where(F.col("similarity") >= threshold)
-    own = F.aggregate("vr.parts", F.lit(0), lambda s, x: s + F.when(F.array_contains("vl.parts.chunk", x["chunk"]), x["length"]).otherwise(0))
-    whole = F.aggregate("vr.parts", F.lit(0), lambda s, x: s + x["length"])
+    # of the form that keeps the order
+    parts = F.filter(F.arrays_zip("vr.chunk", "vr.length"), lambda x: x["chunk"].bitwiseAND(3) == 0)
+    own = F.aggregate(parts, F.lit(0), lambda s, x: s + F.when(F.array_contains("vl.chunk", x["chunk"]), x["length"]).otherwise(0))
+    whole = F.aggregate(parts, F.lit(0), lambda s, x: s + x["length"])
     near = both.select("l", "r", (own / whole).alias("overlap"), "similarity")
     one = F.lit(1.0)
     same = sides.where("on_left and on_right").select(F.col("cid").alias("l"), F.col("cid").alias("r"), one.alias("overlap"), one.alias("similarity"))
