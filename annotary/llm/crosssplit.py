@@ -227,10 +227,14 @@ def overlaps(
 
 
 def report(rows: DataFrame, pairs: DataFrame, right: Sequence[str] = ("validation", "test")) -> DataFrame:
-    """Per split and source of ``rows(id, text, split, source)``: records, those found on the other side, pairs, mean overlap."""
-    hit = pairs.groupBy(F.col("id_r").alias("id")).agg(F.count("*").alias("pairs"), F.max("overlap").alias("overlap"))
+    """Per split and source of ``rows(id, text, split, source)``: records, those found on the other side, pairs, and of each
+    record found its greatest similarity and overlap, averaged."""
+    hit = pairs.groupBy(F.col("id_r").alias("id")).agg(F.count("*").alias("pairs"), F.max("overlap").alias("overlap"), F.max("similarity").alias("similarity"))
     return (
-        rows.where(F.col("split").isin([*right])).join(hit, "id", "left")
+        rows.where(F.col("split").isin([*right])).select("id", "split", "source").join(hit, "id", "left")
         .groupBy("split", "source")
-        .agg(F.count("*").alias("records"), F.count("pairs").alias("leaked"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.avg("overlap"), 4).alias("mean_overlap"))
-    )
+        .agg(
+            F.count("*").alias("records"), F.count("pairs").alias("leaked"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"),
+            F.round(F.avg("similarity"), 6).alias("mean_similarity"), F.round(F.avg("overlap"), 4).alias("mean_overlap"),
+        )
+    )

@@ -6,9 +6,10 @@ are streamed through it once; at each word the automaton knows the longest passa
 item that ends there. Where it has ``LEAST`` words or more, the items that hold it are read
 off the state and its suffix links.
 
-The items are the stated query set. They reach the tasks in blocks of at most
-``BLOCK_WORDS`` words, each block its own automaton, so what a task holds is bounded
-whatever their number; the documents pass all blocks in turn without a shuffle.
+The items are the stated query set. They reach the tasks in blocks of at most ``BLOCK_WORDS``
+words (or one longer item), each block its own automaton, and at most ``BLOCKS_A_PASS`` of them
+in one pass over the documents, so what a task holds is bounded whatever their number. Nothing
+is shuffled. Cleaning takes the spans where they are found: a text is never joined with them.
 
 Defined cases: null and empty documents hold no passage, items shorter than ``LEAST`` words
 are in no document, null items and null item ids are left out, equal items are found alike.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from annotary.functions.tokens import WORD, words
 from annotary.runtime import spread
 
-#: Consecutive words that make a leak, and words of items in one automaton.
-LEAST, BLOCK_WORDS = 12, 500_000
+#: Consecutive words that make a leak, words of items in one automaton, and automata in one pass.
+LEAST, BLOCK_WORDS, BLOCKS_A_PASS = 12, 100_000, 4
 
 
 class Automaton:
@@ -124,14 +125,24 @@ class Automaton:
         return found, spans
 
 
-def _scanner(automaton):
+def _found(automata, tokens: list[str]) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    items: dict[int, int] = {}
+    spans: list[tuple[int, int]] = []
+    for a in automata:
+        some, at = a.value.scan(tokens)
+        for i, n in some.items():
+            items[i] = max(n, items.get(i, 0))
+        spans += at
+    return items, spans
+
+
+def _scanner(automata):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto = automaton.value
         for pdf in batches:
             rows = []
             for key, text in zip(pdf["id"], pdf["text"]):
                 tokens = words(text)
-                found, spans = auto.scan(tokens)
+                found, spans = _found(automata, tokens)
                 if found:
                     rows.append((key, [{"item_id": i, "longest": n} for i, n in found.items()], [{"at": a, "to": b} for a, b in spans], len(tokens)))
             yield pd.DataFrame(rows, columns=["id", "items", "spans", "words"])
@@ -139,48 +150,89 @@ def _scanner(automaton):
     return run
 
 
-def scan(docs: DataFrame, items: DataFrame, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(id, items, spans, words)`` of each of ``docs(id, text)`` that holds a passage of ``items(item_id, text)``.
+def passes(items: DataFrame, least: int = LEAST, block_words: int = BLOCK_WORDS) -> list[list]:
+    """Broadcast automata of all items, in groups for one pass each."""
+    sc = items.sparkSession.sparkContext
+    done: list[list] = [[]]
+    block: list[tuple[int, list[str]]] = []
+
+    def close() -> None:
+        if len(done[-1]) == BLOCKS_A_PASS:
+            done.append([])
+        done[-1].append(sc.broadcast(Automaton(block, least)))
 
-    ``items`` lists the items with their longest passage, ``spans`` the covered words. With
-    items in several blocks a document can have a row for each block."""
-    spark = docs.sparkSession
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
     size = 0
     for r in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
         tokens = words(r["text"])
         if len(tokens) < least:
             continue
         if size and size + len(tokens) > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], tokens))
+            close()
+            block, size = [], 0
+        block.append((r["item_id"], tokens))
         size += len(tokens)
+    close()
+    return done
+
+
+def scan(docs: DataFrame, items: DataFrame, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``(id, items, spans, words)`` of each of ``docs(id, text)`` that holds a passage of ``items(item_id, text)``.
+
+    ``items`` lists the items with their longest passage, ``spans`` the covered words. With items for
+    several passes a document can have a row for each."""
     rows = spread(docs.where("id is not null and text is not null").select("id", "text"))
     schema = "id long, items array<struct<item_id:long,longest:int>>, spans array<struct<at:int,to:int>>, words int"
-    return reduce(DataFrame.unionByName, [rows.mapInPandas(_scanner(spark.sparkContext.broadcast(Automaton(b, least))), schema) for b in blocks])
+    return reduce(DataFrame.unionByName, [rows.mapInPandas(_scanner(p), schema) for p in passes(items, least, block_words)])
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(id, item_id, longest)``: each document and item that share ``least`` or more consecutive words."""
-    return scan(docs, items, least).select("id", F.inline("items"))
+    return scan(docs, items, least, block_words).select("id", F.inline("items"))
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def _places(text: str) -> list[tuple[int, int]]:
+    """Where the words of the lower-cased text stand in the text; few letters are longer in lower case."""
+    low = text.lower()
+    found = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return found
+    origin = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [(origin[a], origin[b - 1] + 1) for a, b in found]
+
+
+def _marker(automata):
+    """Adds the spans of one pass to those of the passes before."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [_found(automata, words(t))[1] if t else [] for t in pdf["text"]]
+            yield pdf.assign(spans=[[*map(dict, had), *({"at": a, "to": b} for a, b in new)] for had, new in zip(pdf["spans"], found)])
+
+    return run
 
 
-def _cleaner(longest: int, coverage: float):
+def _cleaner(automata, longest: int, coverage: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, text, spans in zip(pdf["id"], pdf["text"], pdf["spans"]):
-                if spans is None or not len(spans):
+            before = pdf["spans"] if "spans" in pdf else [()] * len(pdf)
+            for key, text, had in zip(pdf["id"], pdf["text"], before):
+                spans = _found(automata, words(text))[1] if text else []
+                merged = _joined([*spans, *((x["at"], x["to"]) for x in had)])
+                if not merged:
                     rows.append((key, text, 0, 0.0, False))
                     continue
-                merged: list[list[int]] = []
-                for a, b in sorted((x["at"], x["to"]) for x in spans):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                places = [m.span() for m in WORD.finditer(text)]
+                places = _places(text)
                 share = sum(b - a for a, b in merged) / max(1, len(places))
                 long = [(a, b) for a, b in merged if b - a > longest]
                 kept, at = [], 0
@@ -193,11 +245,15 @@ def _cleaner(longest: int, coverage: float):
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, longest: int = 24, coverage: float = 0.5, least: int = LEAST) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, longest: int = 24, coverage: float = 0.5, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every document of ``docs(id, text)``: spans of more than ``longest`` words cut out of ``text``.
 
     ``removed`` counts them, ``coverage`` is the leaked share of the words, and ``dropped``
-    tells that it exceeds the limit."""
-    found = scan(docs, items, least).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    rows = docs.select("id", "text").join(found, "id", "left")
-    return spread(rows).mapInPandas(_cleaner(longest, coverage), "id long, text string, removed int, coverage double, dropped boolean")
+    tells that it exceeds the limit. Row by row: ids may repeat or be null."""
+    *first, last = passes(items, least, block_words)
+    rows = spread(docs.select("id", "text"))
+    if first:
+        rows = rows.withColumn("spans", F.array().cast("array<struct<at:int,to:int>>"))
+    for automata in first:
+        rows = rows.mapInPandas(_marker(automata), "id long, text string, spans array<struct<at:int,to:int>>")
+    return rows.mapInPandas(_cleaner(last, longest, coverage), "id long, text string, removed int, coverage double, dropped boolean")

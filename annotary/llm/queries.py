@@ -46,7 +46,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked records for each evaluation split and source."""
     rows = _annotated(spark, sf_dir)
-    return crosssplit.report(rows, crosssplit.overlaps(rows)).withColumnRenamed("split", "split_name")
+    found = crosssplit.report(rows, crosssplit.overlaps(rows))
+    return found.drop("mean_overlap").withColumnRenamed("split", "split_name")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,12 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.decontaminate(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items")).withColumnRenamed("id", "doc_id")
 
 
+def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the leaked share of its words, the number of long spans, and whether it goes."""
+    done = p6_clean(spark, sf_dir)
+    return done.select("doc_id", "removed", F.round("coverage", 6).alias("coverage"), "dropped")
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts, written once: plan and choice both need them."""
     return cut(mixing.token_sizes(_documents(spark, sf_dir)), "tokens")
@@ -114,7 +121,7 @@ def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_groups, p2_found, p3_found, p3_report, p6_found, p6_clean,
+        p1_found, p1_groups, p2_found, p3_found, p3_report, p6_found, p6_clean, p6_coverage,
         p7_found, p7_repeats, p7_shares, p7_tempered, p8_found, p8_statistics, p8_counts,
     )
 }
@@ -162,6 +169,24 @@ ORACLE["p8_counts"] = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FRO
     SELECT doc_id, CAST(words AS BIGINT) AS n_words, CASE WHEN words > 0 THEN round(ink / words, 6) ELSE 0 END AS mean_word_length,
     CASE WHEN size > 0 THEN round(symbols / size, 6) ELSE 0 END AS symbol_ratio, CASE WHEN lines > 0 THEN round(stops / lines, 6) ELSE 0 END AS punctuated_lines,
     CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains([{_COMMON}], x))) / len(w), 6) ELSE 0 END AS common_words FROM n"""
+ORACLE["p3_report"] = f"""WITH s AS ({_SETS.format(key="ann_id, split_name, tiab", text="tiab", table="annotated_tiab WHERE tiab IS NOT NULL")}),
+    t AS (SELECT * FROM s WHERE len(w) >= 20),
+    p AS (SELECT y.ann_id AS ann_id, len(list_intersect(x.w, y.w)) AS i, len(x.w) AS m, len(y.w) AS n
+        FROM t x JOIN t y ON x.split_name = 'train' AND y.split_name IN ('validation', 'test') AND len(x.w) >= 0.7 * len(y.w) AND len(y.w) >= 0.7 * len(x.w)),
+    h AS (SELECT ann_id, count(*) AS pairs, max(i / (m + n - i)) AS best FROM p WHERE i / (m + n - i) >= 0.7 GROUP BY ann_id)
+    SELECT split_name, source, count(*) AS records, count(h.pairs) AS leaked, CAST(coalesce(sum(h.pairs), 0) AS BIGINT) AS pairs, round(avg(best), 6) AS mean_similarity
+    FROM annotated_tiab a LEFT JOIN h USING (ann_id) WHERE split_name IN ('validation', 'test') GROUP BY split_name, source"""
+# covered words in a row are a span
+ORACLE["p6_coverage"] = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
+    e AS (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text <> '' AND item_id IS NOT NULL),
+    eg AS (SELECT DISTINCT hash(w[k:k+11]) AS h, w[k:k+11] AS g FROM e, unnest(range(1, len(w) - 10)) AS t(k)),
+    dg AS (SELECT doc_id, k, hash(w[k:k+11]) AS h, w[k:k+11] AS g FROM d, unnest(range(1, len(w) - 10)) AS t(k)),
+    c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 12)) AS n FROM dg JOIN eg USING (h, g)),
+    r AS (SELECT doc_id, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM c),
+    m AS (SELECT doc_id, run, count(*) AS size FROM r GROUP BY ALL),
+    s AS (SELECT doc_id, sum(size) AS covered, count(*) FILTER (size > 24) AS long FROM m GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(long, 0) AS INTEGER) AS removed, round(coalesce(covered / len(w), 0), 6) AS coverage, coalesce(covered / len(w) > 0.5, false) AS dropped
+    FROM d LEFT JOIN s USING (doc_id)"""
 _WORDSETS = _SETS.format(key="pmid", text="tiab", table="classified WHERE tiab IS NOT NULL AND pmid IS NOT NULL")
 ORACLE["p1_groups"] = f"""WITH RECURSIVE s AS ({_WORDSETS}), t AS (SELECT DISTINCT * FROM s WHERE len(w) >= 20),
     c AS (SELECT w, count(*) AS copies FROM t GROUP BY w),

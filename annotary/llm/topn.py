@@ -1,12 +1,12 @@
 """Top N items within every group, whatever the groups' sizes.
 
-Exact group counts split the groups. A heavy group holds more than one part in
-``HEAVY_PARTS`` of all rows, so there are fewer than ``HEAVY_PARTS`` of them and
-their list has a proven bound. Light groups go through an ordinary window. Heavy
-groups are range-sorted over all partitions (the group's items in their final order,
-salted by their place in the range), each range keeps its best N, and only those meet
-in a window. Both parts first reduce an item's repeats to its best score, within
-tasks before the shuffle.
+Exact counts of items split the groups. A group is heavy if it holds more than one part in
+``HEAVY_PARTS`` of all items, or more than ``HEAVY_ITEMS``, so a light group's task has a bound
+at every size of the table. Light groups go through an ordinary window. Heavy groups are
+range-sorted over all partitions (the group's items in their final order, salted by their place
+in the range), each range keeps its best N, and only those meet in a window. There an item's
+repeats are reduced to its best score within tasks before the shuffle. The list of heavy groups
+is joined without a hint: Spark broadcasts it where its size allows.
 
 Defined cases: a null group is no group; items that are null or blank, or whose score
 is null or NaN, are left out; a group without items left gives no row; equal scores are
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from annotary.runtime import cut
 
-#: A group with more than 1 / HEAVY_PARTS of all rows is heavy.
-HEAVY_PARTS = 1024
+#: A group with more than 1 / HEAVY_PARTS of all items is heavy, and one with more than HEAVY_ITEMS.
+HEAVY_PARTS, HEAVY_ITEMS = 1024, 1_000_000
 
 
 def digest(text: Column) -> Column:
@@ -37,14 +37,15 @@ def _items(lists: DataFrame) -> DataFrame:
     return valid.groupBy("group", "label").agg(F.max("score").alias("score"))
 
 
-def top_n(rows: DataFrame, n: int = 5, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
+def top_n(rows: DataFrame, n: int = 5, heavy_parts: int = HEAVY_PARTS, heavy_items: int = HEAVY_ITEMS) -> DataFrame:
     """``(group_id, first_id, rnk, label)`` of ``rows(group binary, id bigint, items array<struct<label,score>>)``.
 
     ``first_id`` is the least id among all rows of the group."""
-    counted = cut(rows.where("group is not null").groupBy("group").agg(F.count("*").alias("n"), F.min("id").alias("first_id")), "groups")
+    size = F.greatest(F.size("items.score"), F.lit(0))  # of a null list it is -1; only scores are read
+    sizes = rows.where("group is not null").groupBy("group").agg(F.sum(size).alias("n"), F.min("id").alias("first_id"))
+    counted = cut(sizes, "groups")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).head()["total"]
-    # fewer than heavy_parts rows, whatever the table's size
-    heavy = F.broadcast(counted.where(F.col("n") * heavy_parts > total).select("group"))
+    heavy = counted.where((F.col("n") * heavy_parts > total) | (F.col("n") > heavy_items)).select("group")
     lists = rows.where("group is not null and size(items) > 0").select("group", "items")
     rank = Window.partitionBy("group").orderBy(F.col("score").desc(), F.col("label"))
     cold = (

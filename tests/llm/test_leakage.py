@@ -73,6 +73,18 @@ def test_decontaminate(spark):
     assert got[5]["removed"] == 0 and 0 < got[5]["coverage"] < 0.5
 
 
+def test_clean_repeated_ids_and_several_passes(spark, monkeypatch):
+    """Row by row: an id may recur with another text; spans of all passes are cut from the text as it stands."""
+    items = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdefghijkl"]
+    docs = [(1, "x " + items[0]), (1, "short"), (None, items[5] + " y"), (2, f"p {items[1]} q {items[7]} r {items[11]}"), (3, "İİ z. " + items[2] + " İ end")]
+    d = spark.createDataFrame(docs, "id long, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = [("x ", 1), ("short", 0), (" y", 1), ("p  q  r ", 3), ("İİ z.  İ end", 1)]
+    for words in (30, 60, 10_000):
+        got = sorted((r["text"], r["removed"]) for r in L.decontaminate(d, i, block_words=words).collect())
+        assert got == sorted(want), words
+
+
 def test_long_documents_and_empty_tables(spark):
     item = " ".join(f"i{k}" for k in range(30))
     d = spark.createDataFrame([(1, "pad " * 300_000 + item)], "id long, text string")

@@ -45,6 +45,13 @@ def test_against_brute_force(spark, heavy_parts):
     assert run(spark, data, heavy_parts=heavy_parts) == brute(data, 5)
 
 
+@pytest.mark.parametrize("heavy_items", [1, 20, 10**9])
+def test_heavy_by_items(spark, heavy_items):
+    rng = random.Random(8)
+    data = [(f"g{rng.randrange(20)}", i, [(f"l{rng.randrange(40)}", rng.choice([0.2, 0.4, 0.4]))] * rng.randrange(4)) for i in range(300)]
+    assert run(spark, data, heavy_parts=1, heavy_items=heavy_items) == brute(data, 5)
+
+
 def test_groups_without_items_and_empty_tables(spark):
     assert run(spark, [("g", 1, None), ("h", 2, []), ("i", 3, [(None, 1.0)])]) == set()
     assert run(spark, [("g", 1, [("a", 1.0)])], n=1) == {(1, 1, "a")}
