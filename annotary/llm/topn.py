@@ -6,7 +6,8 @@ at every size of the table. Light groups go through an ordinary window. Heavy gr
 range-sorted over all partitions (the group's items in their final order, salted by their place
 in the range), each range keeps its best N, and only those meet in a window. There an item's
 repeats are reduced to its best score within tasks before the shuffle. The list of heavy groups
-is joined without a hint: Spark broadcasts it where its size allows.
+is counted, and broadcast up to ``LISTED`` groups of 16 bytes; a longer one (of at least 10 ** 11
+items) is joined without a hint, and adaptive execution splits the heavy groups' side of it.
 
 Defined cases: a null group is no group; items that are null or blank, or whose score
 is null or NaN, are left out; a group without items left gives no row; equal scores are
@@ -23,6 +24,8 @@ from annotary.runtime import cut
 
 #: A group with more than 1 / HEAVY_PARTS of all items is heavy, and one with more than HEAVY_ITEMS.
 HEAVY_PARTS, HEAVY_ITEMS = 1024, 1_000_000
+#: Most heavy groups in a broadcast list.
+LISTED = 100_000
 
 
 def digest(text: Column) -> Column:
@@ -46,6 +49,8 @@ def top_n(rows: DataFrame, n: int = 5, heavy_parts: int = HEAVY_PARTS, heavy_ite
     counted = cut(sizes, "groups")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).head()["total"]
     heavy = counted.where((F.col("n") * heavy_parts > total) | (F.col("n") > heavy_items)).select("group")
+    if heavy.count() <= LISTED:
+        heavy = F.broadcast(heavy)
     lists = rows.where("group is not null and size(items) > 0").select("group", "items")
     rank = Window.partitionBy("group").orderBy(F.col("score").desc(), F.col("label"))
     cold = (
