@@ -38,10 +38,10 @@ def to_parquet(spark: SparkSession, a: argparse.Namespace) -> int | None:
         return None
     checked = xml.check_files(spark, list(new))
     good, bad = xml.quarantine(xml.read_articles(spark, a.input, checked), whole_files=not a.rows_only)
-    write_new(bad.select("source_file", "pmid").distinct(), f"{a.out}_quarantine", "source_file", new.values())
+    write_new(bad.select("source_file", "pmid", "error").distinct(), f"{a.out}_quarantine", "source_file", new.values())
     n = write_new(good, a.out, "source_stem", stems)
     # a file that is set apart whole is tried again, it may have been replaced
-    apart = {new[p] for p, whole in checked if not whole}
+    apart = {new[p] for p, error in checked if error}
     if not a.rows_only:
         apart |= {r["source_file"] for r in spark.read.schema("pmid long, source_file string").parquet(f"{a.out}_quarantine").select("source_file").distinct().collect()}
     note_done(spark, a.out, set(new.values()) - apart)
@@ -110,7 +110,7 @@ def mine(spark: SparkSession, a: argparse.Namespace) -> int | None:
     """Hard negatives for the positive pairs of a train set among all ontology labels."""
     pairs = spark.read.schema(schemas.ANNOTATED).parquet(a.train)
     pairs = pairs if a.all_labels else pairs.where("label = 1")
-    names = ontology.labels(files.csv_with_missing(spark, a.g2p_csv, ["g2p id", *schemas.ONTOLOGY_COLUMNS[1:]]), "nan")
+    names = ontology.labels(files.csv_with_missing(spark, a.g2p_csv, ["g2p id", *schemas.ONTOLOGY_COLUMNS[1:]]), "nan", inferred=True)
     # labels are ranked, texts are not; a positive that the ontology lacks is a label too
     pairs = pairs.where("tiab is not null and g2p_lgmde is not null")
     labels = names.select(F.col("g2p_lgmde").alias("t")).unionByName(pairs.select(F.col("g2p_lgmde").alias("t"))).distinct().withColumn("kind", F.lit(1))

@@ -24,17 +24,25 @@ def stratified(groups: DataFrame, key: str, stratum: str, share: float = 0.2, se
 
     Ranks come from a global range sort, so a stratum with half of all rows is no single task."""
     hashed = groups.withColumn("h", F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))))
-    rows = number_rows(hashed, [stratum, "h", key], "nr")
+    return _sides(hashed, key, stratum, ["h", key], share).drop("h")
+
+
+def _sides(groups: DataFrame, key: str, stratum: str, order: list[str], share: float) -> DataFrame:
+    rows = number_rows(groups, [stratum, *order], "nr")
     sizes = rows.groupBy(stratum).agg(F.min("nr").alias("first"), F.ceil(F.count("*") * share).alias("quota"))
     joined = rows.alias("r").join(F.broadcast(sizes).alias("s"), F.col(f"r.{stratum}").eqNullSafe(F.col(f"s.{stratum}")))  # a row a stratum
     side = F.when(F.col("nr") - F.col("first") < F.col("quota"), "test").otherwise("train")
-    return joined.select("r.*", side.alias("side")).drop("nr", "h")
+    return joined.select("r.*", side.alias("side")).drop("nr")
 
 
 def group_split(rows: DataFrame, text: str = "tiab", label: str = "label", share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Rows with ``side``, by text: no text is on both sides. Rows without text are on neither."""
-    sides = stratified(text_groups(rows, text, label), text, "has_pos", share, seed).select(text, "side")
-    return rows.join(sides, text)
+    """Rows with ``side``, by text: no text is on both sides. Rows without text are on neither.
+
+    Groups are kept by the digest that orders them, so texts are neither grouped, sorted nor joined on."""
+    keyed = rows.where(F.col(text).isNotNull()).withColumn("__group", F.md5(F.concat(F.lit(str(seed)), F.col(text))))
+    groups = keyed.groupBy("__group").agg(F.max(label).alias("has_pos"))
+    sides = _sides(groups, "__group", "has_pos", ["__group"], share)
+    return keyed.join(sides.select("__group", "side"), "__group").drop("__group")
 
 
 def overlap(rows: DataFrame, text: str = "tiab", side: str = "side") -> DataFrame:

@@ -13,8 +13,9 @@ from annotary.functions import text as X
 from annotary.models.scorers import ContainmentScorer, FirstCandidate, RuleClassifier
 from annotary.operators import metrics, mining, ontology, ordering, splits, stages, validate
 from annotary.operators.apply import padded, tokens, top_k
-from annotary.runtime import cut, table
-from annotary.sinks.files import shard_name
+from annotary.runtime import shared_path, table
+from annotary.sinks.files import shard_name, write
+from annotary.schemas import GENE_INFO
 from annotary.sources import files, links
 
 QUERIES: dict = {}
@@ -108,16 +109,46 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ontology
 
 
+def _as_csv(spark: SparkSession, df: DataFrame, **options) -> str:
+    """The table written as text files; blanks at the ends of cells are content."""
+    path = shared_path(spark, "text")
+    df.write.options(**({"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""} | options)).csv(path)
+    return path
+
+
 @query(f"SELECT DISTINCT {_LGMDE} AS g2p_lgmde FROM ontology")
 def ontology_lgmde(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-08, O-36..38, O-58."""
-    return ontology.labels(table(spark, sf_dir, "ontology"))
+    """O-08, O-36..38, O-58: the ontology as a CSV, read as texts with nothing taken for missing."""
+    rows = table(spark, sf_dir, "ontology")
+    return ontology.labels(files.csv_texts(spark, _as_csv(spark, rows), rows.columns))
+
+
+_MISSING = ", ".join("'" + x + "'" for x in files.MISSING)
+_GIVEN = ", ".join(f"CASE WHEN {c} NOT IN ({_MISSING}) THEN {c} END AS {c}" for c in _COLS)
+_KINDS = ", ".join(
+    f"bool_and(try_cast({c} AS DOUBLE) IS NOT NULL) FILTER ({c} IS NOT NULL) AS n{i}, bool_and({c} IS NOT NULL AND regexp_matches({c}, '^[ ]*[+-]?[0-9]+[ ]*$')) AS w{i}"
+    for i, c in enumerate(_COLS)
+)
+_WRITTEN = " || ' - ' || ".join(
+    f"coalesce(CASE WHEN w{i} THEN CAST(try_cast({c} AS BIGINT) AS VARCHAR) WHEN n{i} THEN CAST(try_cast({c} AS DOUBLE) AS VARCHAR) ELSE {c} END, 'nan')" for i, c in enumerate(_COLS)
+)
 
 
-@query(f"SELECT DISTINCT {_LGMDE_NAN} AS g2p_lgmde FROM ontology")
+@query(f"WITH o AS (SELECT {_GIVEN} FROM ontology), k AS (SELECT {_KINDS} FROM o) SELECT DISTINCT {_WRITTEN} AS g2p_lgmde FROM o, k")
 def ontology_lgmde_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-39."""
-    return ontology.labels(table(spark, sf_dir, "ontology"), "nan")
+    """O-11, O-39: read with the usual marks of a missing value; columns of numbers with gaps come out as floats."""
+    rows = table(spark, sf_dir, "ontology")
+    return ontology.labels(files.csv_with_missing(spark, _as_csv(spark, rows), rows.columns), "nan", inferred=True)
+
+
+_LGMDE_FEW = " || ' - ' || ".join("''" if c in ("hgnc_id", "variant_types") else f"coalesce({c}, '')" for c in _COLS)
+
+
+@query(f"SELECT DISTINCT {_LGMDE_FEW} AS g2p_lgmde FROM ontology")
+def ontology_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-36, O-37: names with blanks, and two columns that are not there."""
+    rows = table(spark, sf_dir, "ontology").drop("hgnc_id", "variant_types")
+    return ontology.labels(rows.toDF(*[c.replace("_", " ") for c in rows.columns]))
 
 
 # --- numbering, shards
@@ -162,11 +193,11 @@ def stem_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scoring
 
 
-def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _topk(spark: SparkSession, sf_dir: str, **blocks: int) -> DataFrame:
     texts = stages.positives(table(spark, sf_dir, "classified")).where("pmid is not null and tiab is not null").select("pmid", F.col("tiab").alias("text")).distinct()
     keyed = texts.withColumn("key", F.md5("text"))
     labels = ontology.labels(table(spark, sf_dir, "ontology")).withColumnRenamed("g2p_lgmde", "label")
-    return top_k(keyed, ["pmid", "key"], labels, ContainmentScorer)
+    return top_k(keyed, ["pmid", "key"], labels, ContainmentScorer, **blocks)
 
 
 @query(f"""WITH t AS (SELECT DISTINCT pmid, tiab, {_words("tiab")} AS w FROM classified WHERE bert_predict = 1 AND pmid IS NOT NULL AND tiab IS NOT NULL),
@@ -180,6 +211,13 @@ def pair_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("pmid", (F.col("pos") + 1).alias("rnk"), F.col("x.label").alias("label"), F.col("x.score").alias("score"))
 
 
+@query(ORACLE["pair_topk"])
+def pair_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-74: the same by many small blocks of labels in several passes, merged for each text."""
+    best = _topk(spark, sf_dir, block=100, blocks_per_pass=4).select("pmid", F.posexplode("top5_cross").alias("pos", "x"))
+    return best.select("pmid", (F.col("pos") + 1).alias("rnk"), F.col("x.label").alias("label"), F.col("x.score").alias("score"))
+
+
 _BEST = """SELECT row_nr, max(x.score) AS best FROM (SELECT row_nr, unnest(top5_cross) AS x FROM crossencoded_shards)
     WHERE x.score IS NOT NULL AND NOT isnan(x.score) GROUP BY row_nr"""
 
@@ -227,6 +265,18 @@ def json_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(candidates.labels_from_json(raw), ";").alias("label"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 6 < 5 THEN CAST(json_extract(props, '$.k') AS VARCHAR) ELSE '' END AS label FROM events")
+def candidate_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-85: a list of objects, strings or pairs in JSON, of pairs or objects as a literal, and an object that is no list."""
+    k = F.get_json_object("props", "$.k")
+    forms = ['[{{"label": " {} ", "score": 0.5}}]', '["{}", "", null]', '[["{}", 0.25]]', "[('{}', 0.25), ('', 1)]", "[{{'label': '{}', 'score': None}}]", '{{"label": "{}"}}']
+    raw = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        before, after = form.format("\0").split("\0")
+        raw = F.when(F.pmod("event_id", F.lit(len(forms))) == i, F.concat(F.lit(before), k, F.lit(after))).otherwise(raw)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(candidates.any_labels(raw), ";").alias("label"))
+
+
 # --- validation
 
 _TOKENS = f"""SELECT map_id, row_nr, pmid, pos, regexp_replace(regexp_replace({_strip("tok")}, '^[''"]+', ''), '[''"]+$', '') AS token FROM (
@@ -264,8 +314,25 @@ def first_token_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT geneid, symbol FROM gene_info WHERE tax_id = 9606 AND geneid IS NOT NULL AND symbol IS NOT NULL")
 def human_gene_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-13, O-45..47."""
-    return validate.human_genes(files.strip_header(table(spark, sf_dir, "gene_info")))
+    """O-13, O-45..47: the gene table as tab-separated text with a marked header and ``-`` for null, three columns of it read."""
+    rows = table(spark, sf_dir, "gene_info").toDF(*GENE_INFO.names)
+    path = _as_csv(spark, rows, sep="\t", nullValue="-", quote="", escape="\\")
+    return validate.human_genes(files.gene_info(spark, path, ["tax_id", "GeneID", "Symbol"]).toDF("tax_id", "geneid", "symbol"))
+
+
+_FLAT = r"regexp_replace({0}, '[\t\n\r]+', ' ', 'g')"
+
+
+@query(f"""SELECT mention_type AS type, source, count(*) AS n, count(DISTINCT pmid) AS articles, CAST(sum(CASE WHEN d = floor(d) THEN d END) AS BIGINT) AS ids FROM (
+    SELECT mention_type, source, pmid, try_cast({_strip("string_split(" + _FLAT.format("entity_id") + ", ';')[1]")} AS DOUBLE) AS d FROM gene2pubtator3) GROUP BY ALL""")
+def mention_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-12, O-44: mentions as headerless tab-separated text; a field there holds neither tab nor line break."""
+    flat = lambda c: F.regexp_replace(c, r"[\t\n\r]+", " ").alias(c)
+    rows = table(spark, sf_dir, "gene2pubtator3").select("pmid", "mention_type", flat("entity_id"), flat("mention"), "source")
+    read = files.gene_mentions(spark, _as_csv(spark, rows, header=False, sep="\t", quote="", escape="\\"))
+    return read.groupBy("type", "source").agg(
+        F.count("*").alias("n"), F.countDistinct("pmid").alias("articles"), F.sum(X.first_number(F.col("entity_id"))).alias("ids")
+    )
 
 
 @query(_GENES)
@@ -318,10 +385,11 @@ _FLAGGED = f"""WITH best AS ({_BEST}),
     FROM v LEFT JOIN a USING (pmid) LEFT JOIN g USING (map_id) LEFT JOIN d USING (map_id)"""
 
 
-def _final(spark: SparkSession, sf_dir: str, all_rows: bool) -> DataFrame:
+def _final(spark: SparkSession, sf_dir: str, all_rows: bool, mentions: DataFrame | None = None, least: float = 0.9) -> DataFrame:
     answers = table(spark, sf_dir, "final_tiab_mappings").select("map_id", "row_nr", "pmid", "llm_dis_map").join(_best(spark, sf_dir), "row_nr")
-    others = (table(spark, sf_dir, t) for t in ("ontology", "gene2pubtator3", "gene_info"))
-    done = validate.final_mapping(answers, *others, ["map_id"], all_rows=all_rows)
+    names, genes = table(spark, sf_dir, "ontology"), table(spark, sf_dir, "gene_info")
+    mentions = table(spark, sf_dir, "gene2pubtator3") if mentions is None else mentions
+    done = validate.final_mapping(answers, names, mentions, genes, ["map_id"], least, all_rows=all_rows)
     flat = lambda c, to: F.array_join(c, ";").alias(to)
     lists = [flat("gene_symbols", "genes"), flat("dis_map_gene", "dis_map_gene"), flat("dis_map_name", "dis_map_name")]
     return done.select("map_id", "pmid", "llm_dis_map", *lists, F.col("dis_map_correct_gene_all").alias("ok"))
@@ -339,6 +407,24 @@ def final_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _final(spark, sf_dir, False).drop("ok")
 
 
+_PLANTED = f"""SELECT v.pmid, CAST(1000000000 + v.map_id AS BIGINT) AS mention_id, CAST(g.geneid AS VARCHAR) AS entity_id FROM ({_VALID}) v
+    JOIN ontology o ON list_contains(string_split(v.llm_dis_map, ';'), o.g2p_id) JOIN gene_info g ON g.symbol = o.gene_symbol AND g.tax_id = 9606"""
+_FLAGGED_PLANTED = _FLAGGED.replace("FROM gene2pubtator3)", f"FROM (SELECT pmid, mention_id, entity_id FROM gene2pubtator3 UNION ALL {_PLANTED}))").replace("best >= 0.9", "best >= 0.5")
+
+
+@query(f"SELECT * EXCLUDE (ok) FROM ({_FLAGGED_PLANTED}) WHERE ok = 1")
+def final_mapping_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-48 with cases: the human genes of the answers are added to the mentions of their articles, and the least score is 0.5."""
+    rows = table(spark, sf_dir, "final_tiab_mappings").where("llm_dis_map is not null").select("map_id", "pmid", "llm_dis_map")
+    names = table(spark, sf_dir, "ontology")
+    answers = validate.valid_ids(rows, ["map_id"], names).select("map_id", "pmid", F.explode(F.split("llm_dis_map", ";")).alias("g2p_id"))
+    genes = validate.human_genes(table(spark, sf_dir, "gene_info")).withColumnRenamed("symbol", "gene_symbol")
+    found = answers.join(names.select("g2p_id", "gene_symbol"), "g2p_id").join(genes, "gene_symbol")
+    planted = found.select("pmid", (F.col("map_id") + 1_000_000_000).alias("mention_id"), F.col("geneid").cast("string").alias("entity_id"))
+    mentions = table(spark, sf_dir, "gene2pubtator3").select("pmid", "mention_id", "entity_id").unionByName(planted)
+    return _final(spark, sf_dir, False, mentions, 0.5).drop("ok")
+
+
 @query("""SELECT pmid, tiab, bert_predict, NULL::VARCHAR AS title FROM classified
     UNION ALL SELECT pmid, NULL, NULL, title FROM articles""")
 def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,10 +461,18 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.group_split(_labelled(spark, sf_dir)).select("ann_id", "label", "side")
 
 
-@query("SELECT 0::BIGINT AS overlapping")
+@query(f"""SELECT 'given' AS split, count(*) AS texts FROM (SELECT tiab FROM annotated_tiab WHERE tiab IS NOT NULL GROUP BY tiab HAVING count(DISTINCT split_name) > 1)
+    UNION ALL SELECT 'by row', count(*) FROM (SELECT tiab FROM annotated_tiab JOIN (SELECT ann_id, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42' || ann_id), ann_id)
+        <= ceil(0.1 * count(*) OVER (PARTITION BY label)) THEN 'test' ELSE 'train' END AS side FROM annotated_tiab WHERE label IN (0, 1)) USING (ann_id)
+        WHERE tiab IS NOT NULL GROUP BY tiab HAVING count(DISTINCT side) > 1)
+    UNION ALL SELECT 'by text', count(*) FROM (SELECT tiab FROM annotated_tiab JOIN ({_SIDES}) s USING (tiab) WHERE label IN (0, 1) GROUP BY tiab HAVING count(DISTINCT side) > 1)""")
 def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-59: number of texts on both sides."""
-    return splits.overlap(splits.group_split(_labelled(spark, sf_dir))).agg(F.count("*").alias("overlapping"))
+    """O-59: texts on more than one side of the split that the table comes with, of one by row, and of one by text (none)."""
+    rows = table(spark, sf_dir, "annotated_tiab").where("tiab is not null")
+    by_row = _labelled(spark, sf_dir).where("tiab is not null").join(validation_split(spark, sf_dir), "ann_id")
+    found = {"given": splits.overlap(rows, side="split_name"), "by row": splits.overlap(by_row), "by text": splits.overlap(splits.group_split(_labelled(spark, sf_dir)))}
+    parts = [df.agg(F.count("*").alias("texts")).select(F.lit(k).alias("split"), "texts") for k, df in found.items()]
+    return files.union_by_name(*parts)
 
 
 @query("""SELECT ann_id, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42' || ann_id), ann_id)
@@ -481,10 +575,57 @@ def good_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarantine(rows)[0].groupBy("source_file").agg(F.count("*").alias("n"))
 
 
-@query("SELECT source_file, count(*) AS n FROM articles GROUP BY source_file")
+def _xml_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The articles as packed XML files."""
+    rows = table(spark, sf_dir, "articles")
+    date = F.struct(F.col("pubdate").cast("string").alias("Year"))
+    journal = F.struct(F.col("journal").alias("Title"), F.struct(date.alias("PubDate")).alias("JournalIssue"))
+    sections = F.when(F.col("abstract").isNotNull(), F.struct(F.array("abstract").alias("AbstractText")))
+    article = F.struct(F.col("title").alias("ArticleTitle"), sections.alias("Abstract"), F.when(F.col("languages").isNotNull(), F.array("languages")).alias("Language"), journal.alias("Journal"))
+    path = shared_path(spark, "xml")
+    records = rows.select(F.struct(F.col("pmid").cast("string").alias("PMID"), article.alias("Article")).alias("MedlineCitation"))
+    records.repartition(4).write.format("xml").options(rowTag="PubmedArticle", rootTag="PubmedArticleSet", compression="gzip").save(path)
+    return path
+
+
+_XML = ", ".join(f"nullif({_strip(c)}, '') AS {c}" for c in ("title", "abstract"))
+
+
+@query(f"SELECT pmid, {_XML}, nullif(languages, '') AS languages, pubdate, nullif(journal, '') AS journal FROM articles WHERE pubdate IS NOT NULL")
+def xml_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-04, O-15, O-20, O-21, O-31: packed XML through the ingest stage, twice; rows without a year are set apart, the second run adds nothing."""
+    from argparse import Namespace
+
+    from annotary.cli import to_parquet
+
+    source, out = _xml_folder(spark, sf_dir), shared_path(spark, "ingested")
+    took = [to_parquet(spark, Namespace(input=source, out=f"{out}/t", rows_only=True, skip_if_exists=True)) for _ in range(2)]
+    assert took[1] is None
+    empty = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    return spark.read.parquet(f"{out}/t").select("pmid", empty("title"), empty("abstract"), empty("languages"), "pubdate", empty("journal"))
+
+
+@query("SELECT source_file AS batch, count(*) AS n, (SELECT count(*) FROM articles) AS written FROM articles GROUP BY source_file")
 def written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-16..18, O-24: written, read back and counted."""
-    return cut(table(spark, sf_dir, "articles").select("source_file", "pmid"), "written").groupBy("source_file").agg(F.count("*").alias("n"))
+    """O-06, O-07, O-14, O-16..18, O-24: written compressed and counted in the same pass, read back as a folder with a declared schema."""
+    rows = table(spark, sf_dir, "articles").select("pmid", "title", F.col("source_file").alias("batch"))
+    path = shared_path(spark, "written")
+    n = write(rows, path)
+    return files.parquet_dir(spark, path, rows.schema).groupBy("batch").agg(F.count("*").alias("n")).withColumn("written", F.lit(n).cast("long"))
+
+
+@query("""SELECT shard, count(*) AS n, CAST(sum(row_nr) AS BIGINT) AS numbers FROM (SELECT row_nr, row_nr % 3 AS shard FROM
+    (SELECT row_number() OVER (ORDER BY delivery_id) - 1 AS row_nr FROM articles)) GROUP BY shard""")
+def written_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-19, O-20, O-27: each worker's output under its name; a second run leaves what is there."""
+    base = shared_path(spark, "shards")
+    rows = row_numbers(spark, sf_dir)
+    for run in range(2):
+        for i in range(3):
+            done = write(ordering.row_shard(rows, i, 3), f"{base}/{shard_name('articles', i, 3)}", skip_if_exists=True)
+            assert (done is None) == (run == 1)
+    read = [spark.read.parquet(f"{base}/{shard_name('articles', i, 3)}").withColumn("shard", F.lit(i).cast("long")) for i in range(3)]
+    return files.union_by_name(*read).groupBy("shard").agg(F.count("*").alias("n"), F.sum("row_nr").alias("numbers"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -492,7 +633,6 @@ def incremental_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-05, O-20, O-23: the events through an incremental file stream; a second run adds nothing."""
     import os
 
-    from annotary.runtime import shared_path
     from annotary.streaming.ingest import run_new
 
     schema = table(spark, sf_dir, "events").schema

@@ -51,13 +51,13 @@ def _plain(c: Column) -> Column:
     return strip(c)
 
 
-def _is_whole(name: str, content: bytes) -> bool:
-    """Whether a file can be unpacked, checksums included, and parsed to its end."""
+def _error(name: str, content: bytes) -> str:
+    """Why a file cannot be unpacked, checksums included, and parsed to its end; empty if it can."""
     parser = expat.ParserCreate()
     try:
         if not name.endswith(".gz"):
             parser.Parse(content, True)
-            return True
+            return ""
         rest = memoryview(content)
         while len(rest):  # a gzip file may have several members
             member = zlib.decompressobj(wbits=31)
@@ -67,27 +67,27 @@ def _is_whole(name: str, content: bytes) -> bool:
                 parser.Parse(part, False)
                 chunk = member.unconsumed_tail
                 if not part and not chunk and not member.eof:
-                    return False
+                    return "truncated: the packed data ends early"
             rest = rest[len(rest) - len(member.unused_data) :]
         parser.Parse(b"", True)
-        return True
-    except (zlib.error, expat.ExpatError, ValueError):
-        return False
+        return ""
+    except (zlib.error, expat.ExpatError, ValueError) as e:
+        return f"{type(e).__name__}: {e}"
 
 
 def _read_through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        whole = [_is_whole(p, c) for p, c in zip(pdf["path"], pdf["content"])]
-        yield pd.DataFrame({"path": pdf["path"], "whole": pd.Series(whole, dtype=bool)})
+        errors = [_error(p, c) for p, c in zip(pdf["path"], pdf["content"])]
+        yield pd.DataFrame({"path": pdf["path"], "error": pd.Series(errors, dtype=str)})
 
 
-def check_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, bool]]:
-    """Each file's path and whether it can be read to its end."""
+def check_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """Each file's path and why it cannot be read to its end, empty if it can."""
     if not paths:
         return []
     found = spark.read.format("binaryFile").load([_escaped(p) for p in paths]).select("path", "content")
-    whole = {r["path"]: r["whole"] for r in found.mapInPandas(_read_through, "path string, whole boolean").collect()}
-    return [(p, whole.get(p, False)) for p in paths]  # a scan leaves empty files out
+    errors = {r["path"]: r["error"] for r in found.mapInPandas(_read_through, "path string, error string").collect()}
+    return [(p, errors.get(p, "empty file")) for p in paths]  # a scan leaves empty files out
 
 
 def _escaped(path: str) -> str:
@@ -111,8 +111,8 @@ def file_stem(name: str) -> str:
     return re.sub(r"(?s)(?<=.)\.[^.]*$", "", re.sub(r"(?s)(?<=.)\.[^.]*$", "", name))
 
 
-def read_articles(spark: SparkSession, path: str, checked: list[tuple[str, bool]] | None = None) -> DataFrame:
-    """``(pmid, title, abstract, languages, pubdate, journal, source_file, source_stem, bad_row)`` of ``*.xml.gz`` files.
+def read_articles(spark: SparkSession, path: str, checked: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``(pmid, title, abstract, languages, pubdate, journal, source_file, source_stem, error, bad_row)`` of ``*.xml.gz`` files.
 
     ``bad_row`` is set where the record is broken or its year cannot be read. A file that cannot be read to its end
     gives no record, only one bad row with its name. Files are read through once before, in tasks of their own, so that
@@ -120,17 +120,19 @@ def read_articles(spark: SparkSession, path: str, checked: list[tuple[str, bool]
     that is done and not all of ``path`` are wanted."""
     if checked is None:
         checked = check_files(spark, xml_files(spark, path))
-    rows = _records(spark, [p for p, whole in checked if whole])
-    lost = [(p,) for p, whole in checked if not whole]
+    rows = _records(spark, [p for p, error in checked if not error])
+    lost = [x for x in checked if x[1]]
     if not lost:
         return rows
-    broken = spark.createDataFrame(lost, "path string").select(basename(F.col("path")).alias("source_file"), stem(F.col("path")).alias("source_stem"), F.lit(True).alias("bad_row"))
+    broken = spark.createDataFrame(lost, "path string, error string").select(
+        basename(F.col("path")).alias("source_file"), stem(F.col("path")).alias("source_stem"), "error", F.lit(True).alias("bad_row")
+    )
     return rows.unionByName(broken, allowMissingColumns=True)
 
 
 def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
-        return spark.createDataFrame([], "pmid long, title string, abstract string, languages string, pubdate int, journal string, source_file string, source_stem string, bad_row boolean")
+        return spark.createDataFrame([], "pmid long, title string, abstract string, languages string, pubdate int, journal string, source_file string, source_stem string, error string, bad_row boolean")
     options = {"rowTag": "PubmedArticle", "columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE", "ignoreCorruptFiles": False, "ignoreMissingFiles": False}
     raw = spark.read.format("xml").schema(_SCHEMA).options(**options).load([_escaped(p) for p in paths])
     # the metadata's path is a URI; the file's own name counts
@@ -149,12 +151,13 @@ def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
         stem(meta).alias("source_stem"),
         F.col("_corrupt").isNotNull().alias("broken"),
     )
-    return rows.withColumn("bad_row", F.col("broken") | F.col("pubdate").isNull()).drop("broken")
+    error = F.when(F.col("broken"), "the record is broken").when(F.col("pubdate").isNull(), "no year in the date")
+    return rows.withColumn("error", error).withColumn("bad_row", error.isNotNull()).drop("broken")
 
 
 def quarantine(rows: DataFrame, whole_files: bool = True) -> tuple[DataFrame, DataFrame]:
     """Good rows, and what is set apart: all rows of a file with a bad one, or with ``whole_files=False`` the bad rows only."""
     if not whole_files:
-        return rows.where("not bad_row").drop("bad_row"), rows.where("bad_row")
+        return rows.where("not bad_row").drop("bad_row", "error"), rows.where("bad_row")
     bad = rows.groupBy("source_file").agg(F.max("bad_row").alias("bad")).where("bad").select("source_file")
-    return rows.join(bad, "source_file", "left_anti").drop("bad_row"), rows.join(bad, "source_file", "left_semi")
+    return rows.join(bad, "source_file", "left_anti").drop("bad_row", "error"), rows.join(bad, "source_file", "left_semi")
