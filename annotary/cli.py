@@ -8,17 +8,21 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annotary import schemas
-from annotary.models import scorers
-from annotary.operators import mining, ontology, ordering, splits, stages, validate
+from annotary.models import scorers, train
+from annotary.models.devices import configured
+from annotary.operators import metrics, mining, ontology, ordering, splits, stages, validate
 from annotary.operators.apply import embed, top_k
 from annotary.functions.text import max_score
 from annotary.sinks.files import done, note_done, shard_name, write, write_new
-from annotary.sources import files, xml
+from annotary.runtime import cut
+from annotary.sources import files, links, xml
 
 
 def model(path: str) -> scorers.Factory:
@@ -27,6 +31,19 @@ def model(path: str) -> scorers.Factory:
     return getattr(importlib.import_module(module or scorers.__name__), name)
 
 
+def download(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Files of the index pages that the folder lacks; the outcome of each is in ``OUT_log``. Returns how many came."""
+    pages = cut(links.fetch_pages(spark, a.index), "pages")
+    found = links.all_links(*[links.file_links(pages.where(F.col("base_url") == u)) for u in a.index])
+    os.makedirs(a.out, exist_ok=True)
+    wanted = links.missing_files(found, links.existing_files(spark, a.out))
+    log = f"{a.out}_log/run={uuid.uuid4().hex}"
+    links.fetch_files(wanted, a.out, a.at_once).write.parquet(log)
+    lost = pages.where("error is not null").select(F.lit("").alias("name"), F.col("base_url").alias("url"), F.lit(0).cast("long").alias("bytes"), "error")
+    lost.write.mode("append").parquet(log)
+    return spark.read.parquet(log).where("error is null").count()
+
+
 def to_parquet(spark: SparkSession, a: argparse.Namespace) -> int | None:
     """XML files to article tables; unreadable files and bad rows are set apart, with --no-rows_only all rows of a file with a bad one."""
     names = {p: p.rsplit("/", 1)[-1] for p in xml.xml_files(spark, a.input)}
@@ -60,7 +77,7 @@ def classify(spark: SparkSession, a: argparse.Namespace) -> int | None:
     if not new:
         return None
     rows = files.some_parquet(spark, base, [n for n in names if files.input_part(n) in new], "input_part")
-    n = write_new(stages.classified(rows, model(a.model)), a.out, "input_part", new)
+    n = write_new(stages.classified(rows, configured(model(a.model), a.device)), a.out, "input_part", new)
     note_done(spark, a.out, new)
     return n
 
@@ -77,20 +94,37 @@ def cross_score(spark: SparkSession, a: argparse.Namespace) -> int | None:
     rows = ordering.number_rows(rows, [a.order_by, "tiab", "__digest"]).drop("__digest")
     rows = ordering.row_shard(rows, a.shard, a.num_shards)
     names = ontology.labels(files.csv_texts(spark, a.g2p_csv, a.g2p_columns.split(",") if a.g2p_columns else ["g2p id", *schemas.ONTOLOGY_COLUMNS[1:]]))
-    best = top_k(rows.select("row_nr", F.col("tiab").alias("text")), ["row_nr"], names.withColumnRenamed("g2p_lgmde", "label"), model(a.model_path), a.top_k, a.g_block_size, chunk=a.chunk_size)
+    best = top_k(rows.select("row_nr", F.col("tiab").alias("text")), ["row_nr"], names.withColumnRenamed("g2p_lgmde", "label"), configured(model(a.model_path), a.device, a.dtype), a.top_k, a.g_block_size, chunk=a.chunk_size)
     to = f"{a.out_dir}/{shard_name(a.input_parquet.rstrip('/').rsplit('/', 1)[-1].removesuffix('.parquet'), a.shard, a.num_shards)}"
     return write(rows.join(best, "row_nr"), to, compression=a.compression, skip_if_exists=a.skip_if_exists)
 
 
 def llm_map(spark: SparkSession, a: argparse.Namespace) -> int | None:
+    """Prompts, answers and mappings, some input files at a time; files that are noted as done are not read again."""
     if a.out_dir.rstrip("/") == a.shards_dir.rstrip("/"):
         raise SystemExit("the output folder must not be the input folder")
-    return write(stages.adjudicated(spark.read.parquet(a.shards_dir), model(a.llm_model)), a.out_dir)
+    base, names = files.parquet_files(spark, a.shards_dir)
+    parts = sorted({files.input_part(n) for n in names})
+    if a.num_shards > 0 and a.shard_index >= 0 and parts:
+        every = spark.createDataFrame([(n,) for n in parts], "path string")
+        parts = sorted(r["path"] for r in ordering.file_shard(every, a.shard_index, a.num_shards, at_least_one=False).collect())
+    before = done(spark, a.out_dir)
+    new = [p for p in parts if p not in before]
+    if not new:
+        return None
+    factory = configured(model(a.llm_model), temperature=a.temperature, top_p=a.top_p, max_tokens=a.max_tokens)
+    total = 0
+    for at in range(0, len(new), a.save_files):
+        some = set(new[at : at + a.save_files])
+        rows = files.some_parquet(spark, base, [n for n in names if files.input_part(n) in some], "input_part")
+        total += write_new(stages.adjudicated(rows, factory, size=a.batch_size), a.out_dir, "input_part", some)
+        note_done(spark, a.out_dir, some)
+    return total
 
 
 def final_clean(spark: SparkSession, a: argparse.Namespace) -> int | None:
     answers = ordering.number_rows(files.union_by_name(*[spark.read.parquet(p) for p in a.input]), ["pmid", "llm_dis_map", "tiab"], "map_nr")
-    answers = answers.withColumn("pmid", F.col("pmid").cast("bigint")).withColumn("best", max_score(F.col("top5_cross")))
+    answers = answers.drop("input_part").withColumn("pmid", F.col("pmid").cast("bigint")).withColumn("best", max_score(F.col("top5_cross")))
     ids = ontology.normalise(files.csv_with_missing(spark, a.g2p_csv, ["g2p id", *schemas.ONTOLOGY_COLUMNS[1:]]))
     ids = ids.toDF(*[c.replace(" ", "_").lower() for c in ids.columns])
     mentions = files.gene_mentions(spark, a.pubtator)
@@ -127,6 +161,25 @@ def mine(spark: SparkSession, a: argparse.Namespace) -> int | None:
     return write(out.join(text("anchor", "tiab"), "anchor").join(text("cand", "g2p_lgmde"), "cand").select("tiab", "g2p_lgmde", "label"), a.out)
 
 
+def tune_classifier(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A text classifier from a train set, the best of several epochs by F1 on a validation side; model and metrics are written."""
+    numbered = ordering.number_rows(spark.read.schema(schemas.ANNOTATED).parquet(a.train), ["tiab", "g2p_lgmde", "label"], "nr")
+    sides = train.validation_split(numbered, "nr", share=a.val_size, seed=a.seed)
+    best, epoch = train.fine_tune(sides, epochs=a.epochs, decay=a.weight_decay)
+    checks = {"validation": sides.where("side = 'test'"), "test": spark.read.schema(schemas.ANNOTATED).parquet(a.test)} if a.test else {"validation": sides.where("side = 'test'")}
+    found = [metrics.binary(train.scored(best, df)).select(F.lit(k).alias("split"), F.lit(epoch).alias("epoch"), "*") for k, df in checks.items()]
+    train.save(best, files.union_by_name(*found), a.out)
+
+
+def tune_scorer(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A pair scorer from labelled pairs; its evaluation on held-out pairs is written with the model."""
+    pairs = spark.read.schema(schemas.ANNOTATED).parquet(a.train)
+    best, epoch = train.fine_tune_pairs(pairs, epochs=a.epochs, seed=a.seed)
+    held = spark.read.schema(schemas.ANNOTATED).parquet(a.test or a.train).withColumn("tiab", F.concat_ws(" ", "tiab", "g2p_lgmde"))
+    found = metrics.pair_evaluation(train.scored(best, held)).select(F.lit("test" if a.test else "train").alias("split"), F.lit(epoch).alias("epoch"), "*")
+    train.save(best, found, a.out)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="annotary")
     sub = top.add_subparsers(dest="stage", required=True)
@@ -145,20 +198,26 @@ def parser() -> argparse.ArgumentParser:
             else:
                 p.add_argument(flag, type=type(v), default=v)
 
+    stage("download", download, index=[], out="pubmed_data", at_once=8)
     stage("to-parquet", to_parquet, input=..., out=..., rows_only=True, skip_if_exists=True)
-    stage("classify", classify, input=..., out="bert_processed", model="RuleClassifier", shard=0, num_shards=1, skip_if_exists=True)
+    stage("classify", classify, input=..., out="bert_processed", model="RuleClassifier", device="auto", shard=0, num_shards=1, skip_if_exists=True)
     stage("positives", positives, processed_dir="bert_processed", out_path="pubmed_bert_positive.parquet")
     stage(
         "cross-score", cross_score, input_parquet="pubmed_bert_positive.parquet", g2p_csv=..., out_dir="crossencoded_shards", model_path="ContainmentScorer",
-        order_by="pmid", g2p_columns="", chunk_size=200, g_block_size=2048, top_k=5, shard=0, num_shards=1, skip_if_exists=True, compression="zstd",
+        device="auto", dtype="auto", order_by="pmid", g2p_columns="", chunk_size=200, g_block_size=2048, top_k=5, shard=0, num_shards=1, skip_if_exists=True, compression="zstd",
+    )
+    stage(
+        "llm-map", llm_map, shards_dir=..., llm_model="FirstCandidate", out_dir=..., batch_size=32, temperature=0.8, top_p=0.95, max_tokens=2048, shard_index=-1, num_shards=0,
+        save_files=64,
     )
-    stage("llm-map", llm_map, shards_dir=..., llm_model="FirstCandidate", out_dir=...)
     stage("final-clean", final_clean, input=[], g2p_csv=..., pubtator=..., gene_info=..., out="final_tiab_mappings.parquet", threshold=0.9)
     stage("split", split, input=..., out="splits", test_size=0.2, seed=42)
     stage(
         "mine", mine, train=..., g2p_csv=..., out="hard_negatives_dataset", model="HashEmbedder", all_labels=False, max_score=0.95, relative_margin=0.01,
         range_min=5, range_max=50, num_negatives=5,
     )
+    stage("tune-classifier", tune_classifier, train=..., test="", out="classifier", epochs=5, weight_decay=0.3, val_size=0.1, seed=42)
+    stage("tune-scorer", tune_scorer, train=..., test="", out="scorer", epochs=2, seed=42)
     return top
 
 

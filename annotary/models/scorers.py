@@ -8,6 +8,7 @@ types are theirs to choose, and Spark's resource profiles place them.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -74,13 +75,20 @@ class RuleClassifier:
 
 
 class FirstCandidate:
-    """Answers with the identifier at the head of the first candidate line of a prompt."""
+    """Answers with the identifier at the head of the first candidate line of a prompt.
+
+    The answer is the same at every temperature; ``max_tokens`` bounds its words."""
+
+    def __init__(self, temperature: float = 0.0, top_p: float = 1.0, max_tokens: int = 2048):
+        self.temperature, self.top_p, self.max_tokens = temperature, top_p, max_tokens
 
     def generate(self, prompts: Sequence[str]) -> list[str]:
         out = []
         for p in prompts:
             line = next((x for x in p.split("\n") if x.startswith("1) ")), "")
-            out.append(f"Looked at the candidates.\nANSWER: {line[3:].split(' - ')[0].strip() or 'NO MATCH'}")
+            text = f"Looked at the candidates.\nANSWER: {line[3:].split(' - ')[0].strip() or 'NO MATCH'}"
+            ends = [m.end() for m in re.finditer(r"\S+", text)]
+            out.append(text if len(ends) <= self.max_tokens else text[: ends[self.max_tokens - 1] if self.max_tokens > 0 else 0])
         return out
 
 

@@ -14,7 +14,6 @@ with ``__place_`` are taken.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
@@ -23,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annotary.runtime import cut, shared_path
+from annotary.sources.files import escaped
 
 #: Vector words in one broadcast. A word and its key take about 100 bytes in a
 #: hash relation, so a broadcast stays below about 100 MB whatever the table's size.
@@ -35,11 +35,6 @@ def _file(uri: Column) -> Column:
     return F.xxhash64(F.regexp_replace(uri, r"^(\w+):/+", "$1:/"))
 
 
-def _plain_path(uri: str) -> str:
-    """A listed file's URI as a path to read, no pattern."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
-
-
 def _place(df: DataFrame) -> DataFrame:
     meta = df.metadataColumn("_metadata")  # also right where the table has a column of that name
     return df.withColumns({_FILE: _file(meta["file_path"]), _ROW: meta["row_index"]})
@@ -92,7 +87,7 @@ def read_with_vectors(
         n = sizes.get(h, 0)
         if not groups or groups[-1][0] + n > words:
             groups.append((0, []))
-        groups[-1] = (groups[-1][0] + n, [*groups[-1][1], _plain_path(f)])
+        groups[-1] = (groups[-1][0] + n, [*groups[-1][1], escaped(unquote(f))])
         number[h] = len(groups) - 1
     at = shared_path(spark, "vectors")
     named = spark.createDataFrame([(h, number[h]) for h in sizes], f"{_FILE} long, __place_group int")

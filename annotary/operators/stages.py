@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annotary.functions import candidates
 from annotary.functions import text as X
 from annotary.models.scorers import Factory, FirstCandidate, RuleClassifier
-from annotary.operators.apply import classify, generate
+from annotary.operators.apply import MODEL_BATCH, classify, generate
 
 
 def select_eligible(articles: DataFrame) -> DataFrame:
@@ -29,9 +29,9 @@ def positives(rows: DataFrame) -> DataFrame:
     return rows.where("bert_predict = 1")
 
 
-def adjudicated(scored: DataFrame, model: Factory = FirstCandidate, template: tuple[str, str, str] = X.PROMPT) -> DataFrame:
+def adjudicated(scored: DataFrame, model: Factory = FirstCandidate, template: tuple[str, str, str] = X.PROMPT, size: int = MODEL_BATCH) -> DataFrame:
     """Scored rows with candidates, prompt, generated text and the answer in it."""
     rows = scored.withColumn("top_5_cross_lgmde", candidates.labels(F.col("top5_cross")))
     rows = rows.withColumn("llm_prompt", X.prompt(F.col("tiab"), F.col("top_5_cross_lgmde"), template))
-    rows = rows.withColumn("generated_text", generate(F.col("llm_prompt"), model))
+    rows = rows.withColumn("generated_text", generate(F.col("llm_prompt"), model, size))
     return rows.withColumn("llm_dis_map", X.last_answer(F.col("generated_text")))

@@ -15,6 +15,11 @@ from annotary.schemas import GENE_INFO, GENE_MENTION
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+def escaped(path: str) -> str:
+    """A path that is no pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def parquet_dir(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.parquet") -> DataFrame:
     """All files of a folder that match, with their name in ``source_file``; an empty table where none does."""
     files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")
@@ -61,7 +66,7 @@ def input_part(name: str) -> str:
 
 def some_parquet(spark: SparkSession, base: str, names: list[str], column: str) -> DataFrame:
     """The rows of some files of a Parquet folder, with their ``input_part`` in ``column``."""
-    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f"{base}/{n}") for n in names]
+    paths = [escaped(f"{base}/{n}") for n in names]
     reader = spark.read.option("basePath", base)
     # a stem of digits stays a text
     schema = [T.StructField(f.name, T.StringType()) if f.name == "source_stem" else f for f in reader.parquet(*paths).schema]

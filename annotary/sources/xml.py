@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annotary.functions.text import basename, stem, strip, year_of
+from annotary.sources.files import escaped
 
 _S = T.StringType()
 
@@ -85,16 +86,11 @@ def check_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
     """Each file's path and why it cannot be read to its end, empty if it can."""
     if not paths:
         return []
-    found = spark.read.format("binaryFile").load([_escaped(p) for p in paths]).select("path", "content")
+    found = spark.read.format("binaryFile").load([escaped(p) for p in paths]).select("path", "content")
     errors = {r["path"]: r["error"] for r in found.mapInPandas(_read_through, "path string, error string").collect()}
     return [(p, errors.get(p, "empty file")) for p in paths]  # a scan leaves empty files out
 
 
-def _escaped(path: str) -> str:
-    """A path that is no pattern."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
-
-
 def xml_files(spark: SparkSession, path: str) -> list[str]:
     """Paths of the XML files, packed or not, of a folder or pattern."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -134,7 +130,7 @@ def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], "pmid long, title string, abstract string, languages string, pubdate int, journal string, source_file string, source_stem string, error string, bad_row boolean")
     options = {"rowTag": "PubmedArticle", "columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE", "ignoreCorruptFiles": False, "ignoreMissingFiles": False}
-    raw = spark.read.format("xml").schema(_SCHEMA).options(**options).load([_escaped(p) for p in paths])
+    raw = spark.read.format("xml").schema(_SCHEMA).options(**options).load([escaped(p) for p in paths])
     # the metadata's path is a URI; the file's own name counts
     meta = F.url_decode(F.replace(raw.metadataColumn("_metadata")["file_path"], F.lit("+"), F.lit("%2B")))
     a = "MedlineCitation.Article"

@@ -1,10 +1,14 @@
 """The command line, stage after stage, with stand-in models."""
 
+import functools
 import gzip
+import http.server
 import shutil
+import threading
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 
 from annotary import cli
 from annotary.models.scorers import HashEmbedder
@@ -157,3 +161,73 @@ def test_shards_number_ties_alike(spark, inputs):
         run(spark, "cross-score", "--input_parquet", p / f"in{i}" / "pos", "--g2p_csv", p / "g2p.csv", "--out_dir", p / "c", "--shard", i, "--num_shards", 2)
     got = [r for i in (0, 1) for r in spark.read.parquet(str(p / "c" / f"pos_crossencoded_shard{i}-of-2")).collect()]
     assert sorted(r["x"] for r in got) == list(range(40)) and sorted(r["row_nr"] for r in got) == list(range(40))
+
+
+@pytest.fixture
+def site(tmp_path):
+    """A folder served over HTTP."""
+    folder = tmp_path / "site"
+    (folder / "base").mkdir(parents=True)
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(folder))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield folder, f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_download(spark, tmp_path, site):
+    folder, url = site
+    (folder / "base" / "index.html").write_text("<a href=a.xml.gz>a</a><a href='b.xml.gz'>b</a><a href=\"c.xml.gz.md5\">m</a><a class=x href=gone.xml.gz>g</a>")
+    for n in "ab":
+        (folder / "base" / f"{n}.xml.gz").write_bytes(n.encode() * 3_000_000)
+    to = ("download", "--index", f"{url}/base/", f"{url}/base/", f"{url}/none/", "--out", tmp_path / "got")
+    assert run(spark, *to) == 2
+    assert sorted(p.name for p in (tmp_path / "got").iterdir()) == ["a.xml.gz", "b.xml.gz"] and (tmp_path / "got" / "b.xml.gz").stat().st_size == 3_000_000
+    log = {r["url"].rsplit("/", 2)[-1] or r["url"].rsplit("/", 2)[-2]: r["error"] for r in spark.read.parquet(str(tmp_path / "got_log")).collect()}
+    assert log["a.xml.gz"] is None and "404" in log["gone.xml.gz"] and "404" in log["none"]
+    (tmp_path / "got" / "a.xml.gz").unlink()
+    assert run(spark, *to) == 1
+
+
+def test_llm_stage_goes_on_where_it_stopped(spark, tmp_path):
+    rows = [(i, f"text {i}", [(f"G2P{i} - x", 0.9)]) for i in range(6)]
+    src = str(tmp_path / "in")
+    put = lambda some: spark.createDataFrame(some, "row_nr long, tiab string, top5_cross array<struct<label:string,score:double>>").coalesce(1).write.mode("append").parquet(src)
+    put(rows[:2])
+    put(rows[2:3])
+    to = ("llm-map", "--shards_dir", src, "--out_dir", tmp_path / "out", "--save_files", 1)
+    assert run(spark, *to) == 3 and run(spark, *to) is None
+    put(rows[3:])
+    assert run(spark, *to) == 3
+    got = {r["row_nr"]: r["llm_dis_map"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: f"G2P{i}" for i in range(6)}
+    short = tmp_path / "short"
+    assert run(spark, "llm-map", "--shards_dir", src, "--out_dir", short, "--max_tokens", 2) == 6
+    assert {r["generated_text"] for r in spark.read.parquet(str(short)).collect()} == {"Looked at"}
+    parts = [run(spark, "llm-map", "--shards_dir", src, "--out_dir", tmp_path / f"s{i}", "--shard_index", i, "--num_shards", 2) or 0 for i in range(2)]
+    assert sum(parts) == 6 and all(parts)
+
+
+def test_training_stages(spark, tmp_path):
+    rows = [(f"gene variant {i} red", "red label", 1) for i in range(40)] + [(f"river stone {i}", "red label", 0) for i in range(40)] + [(None, "x", 0), ("y", None, None)]
+    df = spark.createDataFrame(rows, "tiab string, g2p_lgmde string, label int")
+    df.write.parquet(str(tmp_path / "train"))
+    df.where("label is not null").write.parquet(str(tmp_path / "test"))
+    for stage in ("tune-classifier", "tune-scorer"):
+        run(spark, stage, "--train", tmp_path / "train", "--test", tmp_path / "test", "--out", tmp_path / stage, "--epochs", 2)
+        model = PipelineModel.load(str(tmp_path / stage / "model"))
+        table = {r["split"]: r.asDict() for r in spark.read.parquet(str(tmp_path / stage / "metrics")).collect()}
+        assert table["test"].get("f1", table["test"].get("best_f1")) > 0.9 and 1 <= table["test"]["epoch"] <= 2
+        assert model.transform(spark.createDataFrame([("gene variant", 1.0)], "text string, label double")).count() == 1
+
+
+def test_devices():
+    from annotary.models.devices import configured, device_of, dtype_of
+    from annotary.models.scorers import ContainmentScorer, FirstCandidate
+
+    assert device_of() == "cpu" and device_of("cuda:1") == "cuda:1" and dtype_of("auto", "cuda:0") == "bfloat16" and dtype_of("fp16") == "float16" and dtype_of() == "float32"
+    with pytest.raises(ValueError):
+        dtype_of("int3")
+    seen = configured(lambda **kw: kw, device="auto", dtype="bf16", temperature=0.5)()
+    assert seen == {"temperature": 0.5, "device": "cpu", "dtype": "bfloat16"}
+    assert configured(FirstCandidate, temperature=0.5, other=1)().temperature == 0.5 and isinstance(configured(ContainmentScorer, "cpu", "fp32")(), ContainmentScorer)

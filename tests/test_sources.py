@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from annotary.sinks.files import write
 from annotary.sources import files, links
-from annotary.sources.xml import quarantine, read_articles
+from annotary.sources.xml import check_files, quarantine, read_articles, xml_files
 from annotary.streaming.ingest import run_new
 
 
@@ -148,11 +148,25 @@ def test_incremental_runs(spark, tmp_path):
 
 
 def test_incremental_quarantine(spark, tmp_path):
+    """Only the file that fails is set apart, with its error; the others of its batch are there."""
     schema = T.StructType([T.StructField("x", T.LongType())])
     src = str(tmp_path / "src")
-    spark.range(3).select(F.col("id").alias("x")).coalesce(1).write.parquet(src)
-    fail = lambda df: df.withColumn("y", F.raise_error(F.lit("no")))
-    run_new(spark, src, schema, str(tmp_path / "o"), str(tmp_path / "m"), fail, quarantine=str(tmp_path / "q"))
-    assert spark.read.parquet(str(tmp_path / "q")).count() == 3
+    for a in (0, 10, 20):
+        spark.range(a, a + 3).select(F.col("id").alias("x")).coalesce(1).write.mode("append").parquet(src)
+    fail = lambda df: df.withColumn("y", F.when(F.col("x") == 11, F.raise_error(F.lit("no"))).otherwise(F.col("x")))
+    assert run_new(spark, src, schema, str(tmp_path / "o"), str(tmp_path / "m"), fail, quarantine=str(tmp_path / "q")) == 1
+    assert sorted(r["x"] for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [0, 1, 2, 20, 21, 22]
+    apart = spark.read.parquet(str(tmp_path / "q")).collect()
+    assert len(apart) == 1 and apart[0]["source_file"].endswith(".parquet") and "no" in apart[0]["error"]
     with pytest.raises(Exception, match="no"):
         run_new(spark, src, schema, str(tmp_path / "o"), str(tmp_path / "m2"), fail, fail_fast=True)
+
+
+def test_errors_of_files(spark, tmp_path):
+    whole = b"<PubmedArticleSet></PubmedArticleSet>"
+    for name, content in {"a.xml": whole, "b.xml": whole[:-5], "c.xml.gz": gzip.compress(whole), "d.xml.gz": gzip.compress(whole * 1)[:-9], "e.xml.gz": b"plain", "f.xml": b""}.items():
+        (tmp_path / name).write_bytes(content)
+    found = {p.rsplit("/", 1)[-1]: error for p, error in check_files(spark, xml_files(spark, str(tmp_path)))}
+    assert found["a.xml"] == found["c.xml.gz"] == "" and all(found[n] for n in ("b.xml", "d.xml.gz", "e.xml.gz", "f.xml"))
+    got = {r["source_file"]: r["error"] for r in quarantine(read_articles(spark, str(tmp_path)))[1].collect()}
+    assert got == {n: e for n, e in found.items() if e}
