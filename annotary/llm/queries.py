@@ -103,6 +103,14 @@ def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir, "temperature")
 
 
+def p7_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan that aims at the targets with words and signs in place of tokens."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0)))
+    planned = mixing.plan(_documents(spark, sf_dir).select("source", words.cast("long").alias("tokens")), table(spark, sf_dir, "mix_targets"))
+    return planned.select("source", "tokens", F.round("weight", 9).alias("weight"), "budget", "passes", "rest", "short", F.round("exponent", 6).alias("exponent"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are not prose."""
     return quality.structures(_documents(spark, sf_dir)).where("not is_prose").select(F.col("id").alias("doc_id"))
@@ -122,7 +130,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_groups, p2_found, p3_found, p3_report, p6_found, p6_clean, p6_coverage,
-        p7_found, p7_repeats, p7_shares, p7_tempered, p8_found, p8_statistics, p8_counts,
+        p7_found, p7_repeats, p7_shares, p7_tempered, p7_words, p8_found, p8_statistics, p8_counts,
     )
 }
 
@@ -160,6 +168,13 @@ ORACLE["p7_found"] = r"""WITH t AS (SELECT source, max(target_share) AS share, m
     n AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'))) AS size FROM documents GROUP BY source),
     j AS (SELECT source, share, most, coalesce(size, 0) AS size, sum(coalesce(size, 0)) OVER () AS total FROM t LEFT JOIN n USING (source))
     SELECT source FROM j WHERE size * most < share * total"""
+# where a source falls short, share and target give the exponent in closed form
+ORACLE["p7_words"] = ORACLE["p7_found"].split("SELECT source FROM j")[0] + """,
+    w AS (SELECT source, CAST(size AS BIGINT) AS tokens, size * most < share * total AS short, share, total, size * most AS cap FROM j),
+    b AS (SELECT *, CASE WHEN short THEN cap / total ELSE share END AS weight, CAST(floor(least(share * total, cap) + 1e-6) AS BIGINT) AS budget FROM w)
+    SELECT source, tokens, round(weight, 9) AS weight, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS passes,
+    CASE WHEN tokens > 0 THEN budget % tokens ELSE budget END AS rest, short,
+    CASE WHEN NOT short THEN 0.0 WHEN tokens = 0 THEN 1.0 ELSE round(ln(weight / share) / ln(tokens / total / share), 6) END AS exponent FROM b"""
 _COMMON = ", ".join("'" + w + "'" for w in sorted(quality._KNOWN))
 _B = r" \t\n\x0B\f\r"
 ORACLE["p8_counts"] = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
