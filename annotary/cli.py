@@ -20,7 +20,7 @@ from annotary.models.devices import configured
 from annotary.operators import metrics, mining, ontology, ordering, splits, stages, validate
 from annotary.operators.apply import embed, top_k
 from annotary.functions.text import max_score
-from annotary.sinks.files import done, note_done, shard_name, write, write_new
+from annotary.sinks.files import done, note_done, shard_name, write, write_new, write_parts
 from annotary.runtime import cut
 from annotary.sources import files, links, xml
 
@@ -76,9 +76,10 @@ def classify(spark: SparkSession, a: argparse.Namespace) -> int | None:
     new = set(parts) - before
     if not new:
         return None
-    rows = files.some_parquet(spark, base, [n for n in names if files.input_part(n) in new], "input_part")
-    n = write_new(stages.classified(rows, configured(model(a.model), a.device)), a.out, "input_part", new)
-    note_done(spark, a.out, new)
+    factory = configured(model(a.model), a.device)
+    rows = lambda keys: stages.classified(files.some_parquet(spark, base, [n for n in names if files.input_part(n) in keys], "input_part"), factory)
+    n, taken = write_parts(rows, a.out, "input_part", new, spark, a.fail_fast)
+    note_done(spark, a.out, taken)
     return n
 
 
@@ -113,12 +114,14 @@ def llm_map(spark: SparkSession, a: argparse.Namespace) -> int | None:
     if not new:
         return None
     factory = configured(model(a.llm_model), temperature=a.temperature, top_p=a.top_p, max_tokens=a.max_tokens)
+    rows = lambda keys: stages.adjudicated(
+        files.some_parquet(spark, base, [n for n in names if files.input_part(n) in keys], "input_part"), factory, size=a.batch_size
+    )
     total = 0
     for at in range(0, len(new), a.save_files):
-        some = set(new[at : at + a.save_files])
-        rows = files.some_parquet(spark, base, [n for n in names if files.input_part(n) in some], "input_part")
-        total += write_new(stages.adjudicated(rows, factory, size=a.batch_size), a.out_dir, "input_part", some)
-        note_done(spark, a.out_dir, some)
+        n, taken = write_parts(rows, a.out_dir, "input_part", set(new[at : at + a.save_files]), spark, a.fail_fast)
+        total += n
+        note_done(spark, a.out_dir, taken)
     return total
 
 
@@ -200,7 +203,7 @@ def parser() -> argparse.ArgumentParser:
 
     stage("download", download, index=[], out="pubmed_data", at_once=8)
     stage("to-parquet", to_parquet, input=..., out=..., rows_only=True, skip_if_exists=True)
-    stage("classify", classify, input=..., out="bert_processed", model="RuleClassifier", device="auto", shard=0, num_shards=1, skip_if_exists=True)
+    stage("classify", classify, input=..., out="bert_processed", model="RuleClassifier", device="auto", shard=0, num_shards=1, fail_fast=False, skip_if_exists=True)
     stage("positives", positives, processed_dir="bert_processed", out_path="pubmed_bert_positive.parquet")
     stage(
         "cross-score", cross_score, input_parquet="pubmed_bert_positive.parquet", g2p_csv=..., out_dir="crossencoded_shards", model_path="ContainmentScorer",
@@ -208,7 +211,7 @@ def parser() -> argparse.ArgumentParser:
     )
     stage(
         "llm-map", llm_map, shards_dir=..., llm_model="FirstCandidate", out_dir=..., batch_size=32, temperature=0.8, top_p=0.95, max_tokens=2048, shard_index=-1, num_shards=0,
-        save_files=64,
+        save_files=64, fail_fast=False,
     )
     stage("final-clean", final_clean, input=[], g2p_csv=..., pubtator=..., gene_info=..., out="final_tiab_mappings.parquet", threshold=0.9)
     stage("split", split, input=..., out="splits", test_size=0.2, seed=42)

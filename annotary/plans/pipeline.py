@@ -503,6 +503,19 @@ def labeled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.labeled_pairs(positives, hard_negatives(spark, sf_dir))
 
 
+@query(ORACLE["hard_negatives"].split("p AS (")[0] + """p AS (SELECT a.vec_id AS anchor, b.vec_id AS cand, a.label = b.label AND b.vec_id > a.vec_id AS own, list_cosine_similarity(a.e, b.e) AS sim
+        FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+    m AS (SELECT anchor, max(sim) AS pos FROM p WHERE own GROUP BY anchor),
+    r AS (SELECT anchor, cand, row_number() OVER (PARTITION BY anchor ORDER BY sim DESC, cand) AS rnk FROM p JOIN m USING (anchor) WHERE NOT own AND sim <= 0.95 AND sim <= pos * 0.99)
+    SELECT anchor, cand, 0 AS label FROM r WHERE rnk > 5 AND rnk <= 10 UNION ALL SELECT anchor, cand, 1 FROM p WHERE own""")
+def mined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-57, O-78, O-95 with positives given as pairs, as the mining stage does: an anchor can have several, a vector can be one of several anchors."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    anchors = v.where("id % 20 = 0")
+    own = anchors.select(F.col("id").alias("anchor"), "label").join(v.select(F.col("id").alias("cand"), "label"), "label").where("cand > anchor").select("anchor", "cand")
+    return mining.labeled_pairs(own, mining.hard_negatives(v.drop("label"), anchors.drop("label"), positives=own))
+
+
 # --- metrics
 
 _PAIRS = f"""SELECT label, len(list_intersect({_words("tiab")}, {_words("g2p_lgmde")})) / greatest(1, len({_words("g2p_lgmde")})) AS score FROM annotated_tiab WHERE label IN (0, 1)"""
@@ -545,17 +558,24 @@ def pr_curve_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing for each batch file: an anchor to it and one to its checksum."""
+    """Two listings of the batch files: anchors in each kind of quotes, and to checksums; the second listing has the dated files only, and one page was not read."""
     name = F.col("source_file")
-    html = F.concat(F.lit('<p><a class="f" href="'), name, F.lit("\">x</a> <a href='"), name, F.lit(".md5'>y</a></p>"))
-    rows = table(spark, sf_dir, "articles").where("source_file is not null").select("source_file").distinct()
-    return rows.select(F.lit("https://example.org/baseline/").alias("base_url"), F.lit(200).alias("status"), html.alias("html"))
+    rows = table(spark, sf_dir, "articles").where("source_file is not null").groupBy("source_file").agg(F.max("received_at").alias("last"))
+    anchors = (
+        F.concat(F.lit('<p><a class="f" href="'), name, F.lit("\">x</a> <a href='"), name, F.lit(".md5'>y</a></p>")),
+        F.concat(F.lit("<A HREF = "), name, F.lit(" id='n'>x</A><a href="), name, F.lit(".md5>y</a>")),
+    )
+    base = rows.select(F.lit("https://example.org/baseline/").alias("base_url"), F.lit(200).alias("status"), anchors[0].alias("html"))
+    more = rows.where("last is not null").select(F.lit("https://example.org/update/").alias("base_url"), F.lit(200).alias("status"), anchors[1].alias("html"))
+    return base.unionByName(more).unionByName(more.withColumn("status", F.lit(404)))
 
 
-@query("SELECT DISTINCT 'https://example.org/baseline/' || source_file AS url FROM articles WHERE source_file IS NOT NULL")
+@query("""SELECT 0 AS listing, 'https://example.org/baseline/' || source_file AS url FROM articles WHERE source_file IS NOT NULL GROUP BY source_file
+    UNION ALL SELECT 1, 'https://example.org/update/' || source_file FROM articles WHERE source_file IS NOT NULL GROUP BY source_file HAVING max(received_at) IS NOT NULL""")
 def link_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-01, O-03, O-90."""
-    return links.all_links(links.file_links(_pages(spark, sf_dir))).select("url")
+    """O-01, O-03, O-90: the links of two listings, files that both have twice."""
+    found = links.file_links(_pages(spark, sf_dir))
+    return links.all_links(*[found.where(F.col("base_url") == f"https://example.org/{x}/") for x in ("baseline", "update")]).select("listing", "url")
 
 
 @query("SELECT DISTINCT source_file AS name FROM articles WHERE source_file IS NOT NULL AND source_file NOT IN (SELECT source_file FROM classified WHERE source_file IS NOT NULL)")

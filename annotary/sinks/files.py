@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +51,30 @@ def write_new(df: DataFrame, path: str, by: str, keys: Iterable[str], compressio
     return seen.get["n"]
 
 
+def write_parts(
+    rows_of: Callable[[set[str]], DataFrame], path: str, by: str, keys: set[str], spark: SparkSession, fail_fast: bool = False, compression: str = "zstd"
+) -> tuple[int, set[str]]:
+    """Write the rows of inputs ``keys`` and return their number and the inputs that were taken.
+
+    All go in one job. If it fails the inputs are taken one by one: each gives all its rows or none, and those
+    that fail themselves are written to ``PATH_errors`` with the error. With ``fail_fast`` the error is raised."""
+    try:
+        return write_new(rows_of(keys), path, by, keys, compression), keys
+    except Exception:
+        if fail_fast:
+            raise
+    total, taken, lost = 0, set(), []
+    for k in sorted(keys):
+        try:
+            total += write_new(rows_of({k}), path, by, {k}, compression)
+            taken.add(k)
+        except Exception as e:
+            lost.append((k, f"{type(e).__name__}: {e}"[:4000]))
+    if lost:
+        spark.createDataFrame(lost, "key string, error string").coalesce(1).write.parquet(f"{path}_errors/run={uuid.uuid4().hex}")
+    return total, taken
+
+
 def note_done(spark: SparkSession, path: str, keys: set[str]) -> None:
     """Note inputs as taken to ``path``; call it when all that belongs to them is written."""
     if keys:

@@ -9,8 +9,11 @@ import threading
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from annotary import cli
+from annotary.sinks.files import write_parts
+from annotary.sources import files
 from annotary.models.scorers import HashEmbedder
 from annotary.schemas import ONTOLOGY_COLUMNS
 from test_sources import article
@@ -231,3 +234,18 @@ def test_devices():
     seen = configured(lambda **kw: kw, device="auto", dtype="bf16", temperature=0.5)()
     assert seen == {"temperature": 0.5, "device": "cpu", "dtype": "bfloat16"}
     assert configured(FirstCandidate, temperature=0.5, other=1)().temperature == 0.5 and isinstance(configured(ContainmentScorer, "cpu", "fp32")(), ContainmentScorer)
+
+
+def test_one_input_that_fails(spark, tmp_path):
+    """The other inputs are taken; the failed one is listed with its error and tried again by the next run."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for a in (0, 10, 20):
+        spark.range(a, a + 3).coalesce(1).write.mode("append").parquet(src)
+    base, names = files.parquet_files(spark, src)
+    rows = lambda keys: files.some_parquet(spark, base, [n for n in names if n in keys], "part").withColumn("x", F.when(F.col("id") == 11, F.raise_error(F.lit("no"))).otherwise(1))
+    n, taken = write_parts(rows, out, "part", set(names), spark)
+    assert n == 6 and len(taken) == 2 and sorted(r["id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 20, 21, 22]
+    lost = spark.read.parquet(f"{out}_errors").collect()
+    assert len(lost) == 1 and {lost[0]["key"]} == set(names) - taken and "no" in lost[0]["error"]
+    with pytest.raises(Exception, match="no"):
+        write_parts(rows, out, "part", set(names), spark, fail_fast=True)
