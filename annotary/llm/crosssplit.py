@@ -133,12 +133,13 @@ def _records(min_words: int, most: int = 1 << 20):
             if len(seen) > most:
                 seen.clear()
             for i, side, text in zip(*(batch.column(c).to_pylist() for c in ("id", "is_left", "text"))):
-                key = xxhash.xxh3_128_digest(text)
+                mark = b"l" if side else b"r"
+                key = xxhash.xxh3_128_digest(text) + mark
                 new = key not in seen
                 if new:
                     tokens = hashed(words(text))
                     different = np.unique(tokens)
-                    seen[key] = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(different) >= min_words else None
+                    seen[key] = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() + mark if len(different) >= min_words else None
                 if seen[key] is None:
                     continue
                 ids.append(i)
@@ -170,22 +171,22 @@ def _records(min_words: int, most: int = 1 << 20):
     return run
 
 
-def _met(classes: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
+def _met(classes: DataFrame, threshold: float) -> DataFrame:
     """``(l, r)``: pairs of classes across the sides that share a chunk joined and have sketches near enough."""
-    flat = classes.select("cid", F.explode(F.arrays_zip("chunk", "length")).alias("c")).select("cid", F.col("c.chunk").alias("chunk"), F.col("c.length").alias("length"))
-    common = flat.groupBy("chunk").agg(F.count("*").alias("df")).where("df > 1")
-    # chunks of one record only come first in its order; their length is all but that of the others
-    narrow = classes.select("cid", "s1", "s2", "sizes").join(sides, "cid")
-    shared = flat.join(common, "chunk").withColumn("form", F.col("chunk").bitwiseAND(3).cast("int")).repartition("cid")
+    flat = classes.select("cid", "is_left", F.explode(F.arrays_zip("chunk", "length")).alias("c")).select("cid", "is_left", F.col("c.chunk").alias("chunk"), F.col("c.length").alias("length"))
+    # chunks of one side only come first in a record's order; their length is all but that of the others
+    both_sides = flat.groupBy("chunk").agg(F.count("*").alias("df"), F.max("is_left").alias("some"), F.min("is_left").alias("all_left")).where("some and not all_left").select("chunk", "df")
+    narrow = classes.select("cid", "is_left", "s1", "s2", "sizes")
+    shared = flat.drop("is_left").join(both_sides, "chunk").withColumn("form", F.col("chunk").bitwiseAND(3).cast("int")).repartition("cid")
     by_form = Window.partitionBy("cid", "form")
     rows = shared.withColumns({"upto": F.sum("length").over(by_form.orderBy("df", "chunk")), "all": F.sum("length").over(by_form)}).join(narrow, "cid")
     rows = rows.withColumn("total", F.element_at("sizes", F.col("form") + 1)).withColumn("before", F.col("total") - F.col("all") + F.col("upto") - F.col("length"))
     rows = rows.where((F.col("before") <= (1 - TAIL) * F.col("total")) | (F.col("df") <= RARE))
-    rows = cut(rows.select("cid", "chunk", "df", "total", "on_left", "on_right", "s1", "s2"), "joined").withColumn("salts", F.ceil(F.col("df") / SALT_ROWS).cast("int"))
-    a = rows.where("on_left").select("chunk", F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"), F.col("cid").alias("l"), F.col("total").alias("tl"), F.col("s1").alias("l1"), F.col("s2").alias("l2"))
-    b = rows.where("on_right").select("chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("cid").alias("r"), F.col("total").alias("tr"), F.col("s1").alias("r1"), F.col("s2").alias("r2"))
+    rows = cut(rows.select("cid", "chunk", "df", "total", "is_left", "s1", "s2"), "joined").withColumn("salts", F.ceil(F.col("df") / SALT_ROWS).cast("int"))
+    a = rows.where("is_left").select("chunk", F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"), F.col("cid").alias("l"), F.col("total").alias("tl"), F.col("s1").alias("l1"), F.col("s2").alias("l2"))
+    b = rows.where("not is_left").select("chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("cid").alias("r"), F.col("total").alias("tr"), F.col("s1").alias("r1"), F.col("s2").alias("r2"))
     # texts whose lengths differ more than the share allows cannot pass
-    met = a.join(b, ["chunk", "salt"]).where("l <> r").where(F.least("tl", "tr") >= TAIL * F.greatest("tl", "tr"))
+    met = a.join(b, ["chunk", "salt"]).where(F.least("tl", "tr") >= TAIL * F.greatest("tl", "tr"))
     return met.where(agree(agree_limit(threshold), F.col("l1"), F.col("r1"), F.col("l2"), F.col("r2"))).select("l", "r").distinct()
 
 
@@ -198,19 +199,19 @@ def overlaps(
     spark = rows.sparkSession
     used = rows.where("id is not null and text is not null").where(F.col("split").isin([*left, *right])).select("id", F.col("split").isin([*left]).alias("is_left"), "text")
     read = spread(used).mapInArrow(_records(max(1, min_words)), _RECORD).withColumn("cid", F.monotonically_increasing_id())
-    # numbers are fixed by writing; the least of equal texts stands for their class
+    # numbers are fixed by writing; the least of equal texts of a side stands for their class
     path = cut_path(read, "records")
     classes = one_per_key(spark, path, "digest", ["cid"])
-    narrow = spark.read.parquet(path).select("digest", "id", "is_left", "cid")
-    heads = narrow.groupBy("digest").agg(F.min("cid").alias("cid"), F.max("is_left").alias("on_left"), F.max(~F.col("is_left")).alias("on_right"))
-    members = cut(narrow.drop("cid").join(heads, "digest").select("cid", "id", "is_left"), "members")
-    sides = heads.select("cid", "on_left", "on_right")
+    narrow = spark.read.parquet(path).select("digest", "id", "cid")
+    heads = narrow.groupBy("digest").agg(F.min("cid").alias("cid"))
+    members = cut(narrow.drop("cid").join(heads, "digest").select("cid", "id"), "members")
     if exact:
         pairs = exact_candidates(classes, threshold)
         both = pairs.select(F.col("a").alias("l"), F.col("b").alias("r")).unionByName(pairs.select(F.col("b").alias("l"), F.col("a").alias("r")))
-        met = both.join(sides.where("on_left").select(F.col("cid").alias("l")), "l", "left_semi").join(sides.where("on_right").select(F.col("cid").alias("r")), "r", "left_semi")
+        side = lambda flag, n: classes.where(flag).select(F.col("cid").alias(n))
+        met = both.join(side("is_left", "l"), "l", "left_semi").join(side("not is_left", "r"), "r", "left_semi")
     else:
-        met = _met(classes, sides, threshold)
+        met = _met(classes, threshold)
     full = classes.select("cid", F.struct("hashes", "chunk", "length").alias("v"))
     side = lambda n: full.select(F.col("cid").alias(n), F.col("v").alias(f"v{n}"))
     both = met.join(side("l"), "l").join(side("r"), "r").withColumn("similarity", similarity(F.col("vl.hashes"), F.col("vr.hashes"))).where(F.col("similarity") >= threshold)
@@ -219,11 +220,8 @@ def overlaps(
     own = F.aggregate(parts, F.lit(0), lambda s, x: s + F.when(F.array_contains("vl.chunk", x["chunk"]), x["length"]).otherwise(0))
     whole = F.aggregate(parts, F.lit(0), lambda s, x: s + x["length"])
     near = both.select("l", "r", (own / whole).alias("overlap"), "similarity")
-    one = F.lit(1.0)
-    same = sides.where("on_left and on_right").select(F.col("cid").alias("l"), F.col("cid").alias("r"), one.alias("overlap"), one.alias("similarity"))
-    pairs = near.unionByName(same)
-    end = lambda flag, n: members.where(flag).select(F.col("cid").alias(n), F.col("id").alias(f"id_{n}"))
-    return pairs.join(end("is_left", "l"), "l").join(end("not is_left", "r"), "r").select("id_l", "id_r", "overlap", "similarity")
+    end = lambda n: members.select(F.col("cid").alias(n), F.col("id").alias(f"id_{n}"))
+    return near.join(end("l"), "l").join(end("r"), "r").select("id_l", "id_r", "overlap", "similarity")
 
 
 def report(rows: DataFrame, pairs: DataFrame, right: Sequence[str] = ("validation", "test")) -> DataFrame:
