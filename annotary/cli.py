@@ -11,6 +11,7 @@ import importlib
 import os
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def to_parquet(spark: SparkSession, a: argparse.Namespace) -> int | None:
 
 
 def classify(spark: SparkSession, a: argparse.Namespace) -> int | None:
-    """Eligible articles with their class; those of each source or file are a partition ``input_part`` of the output."""
+    """Eligible articles with their class, by a factory (``module:name``) or a trained model (its folder); those of each source or file are a partition ``input_part`` of the output."""
     base, names = files.parquet_files(spark, a.input)
     parts = sorted({files.input_part(n) for n in names})
     if a.num_shards > 1 and parts:
@@ -76,8 +77,13 @@ def classify(spark: SparkSession, a: argparse.Namespace) -> int | None:
     new = set(parts) - before
     if not new:
         return None
-    factory = configured(model(a.model), a.device)
-    rows = lambda keys: stages.classified(files.some_parquet(spark, base, [n for n in names if files.input_part(n) in keys], "input_part"), factory)
+    if "/" in a.model:  # what tune-classifier wrote
+        trained = PipelineModel.load(a.model)
+        by = lambda df: stages.classified_by(df, trained)
+    else:
+        factory = configured(model(a.model), a.device)
+        by = lambda df: stages.classified(df, factory)
+    rows = lambda keys: by(files.some_parquet(spark, base, [n for n in names if files.input_part(n) in keys], "input_part"))
     n, taken = write_parts(rows, a.out, "input_part", new, spark, a.fail_fast)
     note_done(spark, a.out, taken)
     return n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,13 @@ def classified(articles: DataFrame, model: Factory = RuleClassifier) -> DataFram
     return with_tiab(select_eligible(articles)).withColumn("bert_predict", classify(F.col("tiab"), model))
 
 
+def classified_by(articles: DataFrame, trained: PipelineModel) -> DataFrame:
+    """The same by a trained Spark ML model that reads ``text`` and gives ``prediction``; it stays in the JVM."""
+    rows = with_tiab(select_eligible(articles))
+    found = trained.transform(rows.select(F.struct("*").alias("__row"), F.col("tiab").alias("text")))
+    return found.select("__row.*", "prediction").withColumn("bert_predict", F.col("prediction").cast("bigint")).drop("prediction")
+
+
 def positives(rows: DataFrame) -> DataFrame:
     return rows.where("bert_predict = 1")
 

@@ -224,6 +224,17 @@ def test_training_stages(spark, tmp_path):
         assert model.transform(spark.createDataFrame([("gene variant", 1.0)], "text string, label double")).count() == 1
 
 
+def test_classify_by_a_trained_model(spark, inputs):
+    p = inputs
+    run(spark, "to-parquet", "--input", p / "xml", "--out", p / "art")
+    rows = [(f"gene variant {i}", "x", 1) for i in range(40)] + [(f"river stone {i}", "x", 0) for i in range(40)]
+    spark.createDataFrame(rows, "tiab string, g2p_lgmde string, label int").write.parquet(str(p / "train"))
+    run(spark, "tune-classifier", "--train", p / "train", "--out", p / "clf", "--epochs", 1)
+    assert run(spark, "classify", "--input", p / "art", "--out", p / "cls", "--model", f"{p}/clf/model") == 3
+    got = {r["pmid"]: r["bert_predict"] for r in spark.read.parquet(str(p / "cls")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
 def test_devices():
     from annotary.models.devices import configured, device_of, dtype_of
     from annotary.models.scorers import ContainmentScorer, FirstCandidate

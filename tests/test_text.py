@@ -1,5 +1,7 @@
 """Scalar functions on the edge rows of FIXTURES.md."""
 
+import os
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annotary.functions import candidates as C
 from annotary.functions import text as X
+from annotary.functions import tokenizer
 
 
 def one(spark, value, f, kind="string"):
@@ -98,3 +101,19 @@ def test_prompt_and_lines(spark):
     df = spark.createDataFrame([(None, ["a", "b"])], "t string, l array<string>")
     assert df.select(X.candidate_lines(F.col("l")).alias("x")).head()["x"] == "1) a\n2) b"
     assert df.select(X.prompt(F.col("t"), F.col("l"), ("<", "|", ">")).alias("x")).head()["x"] == "<|1) a\n2) b>"
+
+
+@pytest.mark.skipif(not os.path.exists(tokenizer.VOCABULARY), reason="no vocabulary here")
+def test_token_ids(spark):
+    vocabulary = tokenizer.read_vocabulary(spark)
+    texts = ["A gene variant, c.77G>A; and more.", "", None, "é 漢字 " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["ids"] for r in df.select("i", tokenizer.token_ids(F.col("t"), vocabulary).alias("ids")).collect()}
+    c = tokenizer.coder(vocabulary)
+    assert c.decode(got[0]) == texts[0] and got[1] == got[2] == [] and len(got[3]) == 512 and got[3] == c.encode_ordinary(texts[3])[:512]
+
+
+def test_padding_by_batch():
+    lists = [[1] * n for n in (3, 9, 8, 1, 17)]
+    got = list(tokenizer.padded_batches(lists, size=2, multiple=8))
+    assert [[len(x) for x in b] for b in got] == [[16, 16], [8, 8], [24]] and got[0][0] == [1, 1, 1, *[0] * 13]
