@@ -31,31 +31,24 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
-import base64
 import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annotary.functions.tokenizer import coder, read_vocabulary
 from annotary.runtime import spread
 
-#: Setting of the session that names the vocabulary file, and where it is otherwise.
-SETTING, VOCABULARY = "spark.annotary.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: How text is cut before merges, as that vocabulary's makers publish it (a fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCKS = 4096
 
 
-def _counter(ranks):
+def _counter(vocabulary):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
-
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.value.splitlines()) if a}
-        coder = tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+        c = coder(vocabulary.value)
         for pdf in batches:
-            sizes = [len(coder.encode_ordinary(t)) if t else 0 for t in pdf["text"]]
+            sizes = [len(c.encode_ordinary(t)) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "tokens": sizes})
 
     return run
@@ -64,8 +57,7 @@ def _counter(ranks):
 def token_sizes(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``(id, source, tokens)`` of ``docs(id, source, text)``. The vocabulary is read here and sent to the tasks."""
     spark = docs.sparkSession
-    with open(vocabulary or spark.conf.get(SETTING, VOCABULARY), "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary file, under 1 MB
+    ranks = spark.sparkContext.broadcast(read_vocabulary(spark, vocabulary))  # a vocabulary file, about 1 MB
     return spread(docs.select("id", "source", "text")).mapInPandas(_counter(ranks), "id long, source string, tokens long")
 
 

@@ -1,13 +1,15 @@
 """Mixing: sizes, plan, choice of documents."""
 
+import base64
 import math
 import os
 
 import pytest
 
+from annotary.functions.tokenizer import PATTERN, SETTING, VOCABULARY
 from annotary.llm import mixing as M
 
-needs = pytest.mark.skipif(not os.path.exists(M.VOCABULARY), reason="no vocabulary here")
+needs = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
 TARGETS = "source string, target_share double, max_repeats int"
 SIZES = "id long, source string, tokens long"
 
@@ -19,9 +21,9 @@ def test_token_sizes(spark):
     data = [(1, "a", "A plain text, with 12 tokens or so."), (2, "a", ""), (3, None, None), (4, "b", "<|endoftext|>"), (5, "b", "é" * 20_000)]
     df = spark.createDataFrame(data, "id long, source string, text string")
     got = {r["id"]: r["tokens"] for r in M.token_sizes(df).collect()}
-    with open(M.VOCABULARY, "rb") as f:
-        ranks = {M.base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines()) if a}
-    coder = tiktoken.Encoding("t", pat_str=M.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines()) if a}
+    coder = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert got == {i: len(coder.encode_ordinary(t)) if t else 0 for i, _, t in data}
     assert M.token_sizes(df.limit(0)).count() == 0
 
@@ -89,12 +91,12 @@ def test_nulls_ties_and_repeated_rows(spark):
 
 
 def test_setting_names_the_vocabulary(spark):
-    spark.conf.set(M.SETTING, "/nowhere/else")
+    spark.conf.set(SETTING, "/nowhere/else")
     try:
         with pytest.raises(FileNotFoundError):
             M.token_sizes(spark.createDataFrame([(1, "a", "x")], "id long, source string, text string"))
     finally:
-        spark.conf.unset(M.SETTING)
+        spark.conf.unset(SETTING)
 
 
 def test_empty_tables(spark):
