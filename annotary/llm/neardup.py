@@ -8,7 +8,9 @@ Each class has a MinHash signature of ``trees`` groups of ``depth`` values. Ever
 sorted order of all classes (a tree of the forest). Classes whose keys share a long prefix stand
 next to each other in it: within a tree, those that agree in the first ``depth - 2`` values are
 candidates where that region is small, and in crowded regions the depth grows until it is small
-or ``depth`` is reached. Regions crowded at full depth are not cut: their classes are compared
+or ``depth`` is reached. Rows are dealt out by the first ``depth - 2`` values; regions that a look at
+one class in 64 shows to be hot are dealt out by more of them, and rows of a hot full key are not
+sorted at all. Regions crowded at full depth are not cut: their classes are compared
 block against block, in as many tasks as there are pairs of blocks. A candidate leaves its task
 only if 128 one-bit hashes agree well enough; then the exact similarity decides.
 
@@ -47,6 +49,8 @@ from annotary.runtime import cut, cut_path, spread
 
 #: Recall at the threshold that a forest is laid out for, most MinHash values of a class, one-bit hashes of a sketch.
 RECALL, VALUES, BITS = 0.998, 160, 128
+#: Most hot regions in a broadcast list.
+LISTED = 100_000
 
 
 class Forest(NamedTuple):
@@ -61,6 +65,9 @@ class Forest(NamedTuple):
     block: int = 1024
     #: Rows held in a task while a region is incomplete.
     held: int = 262_144
+    #: One class of so many is looked at for hot regions, and so many of those make a region hot; more than ``small``.
+    looked: int = 64
+    hot: int = 1000
 
     @property
     def least(self) -> int:
@@ -312,13 +319,44 @@ def _block_pairs(least: int):
     return run
 
 
+def hot_regions(classes: DataFrame, f: Forest) -> DataFrame:
+    """``(depth, prefix)`` of regions that hold ``hot`` or more of the classes looked at.
+
+    Only where rows go depends on it: such a region has more than ``small`` classes, so its pairs are
+    looked for at a greater depth, and its rows can be dealt out by that."""
+    rows = classes.where(F.pmod(F.xxhash64("cid"), F.lit(f.looked)) == 0).mapInArrow(_keys(f), _ROWS)
+    levels = F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("key", _shift(f, d)).alias("prefix")) for d in range(f.least, f.depth + 1)])
+    return rows.select(F.inline(levels)).groupBy("depth", "prefix").agg(F.count("*").alias("n")).where(F.col("n") >= max(f.hot, f.small + 1)).select("depth", "prefix")
+
+
+def placed(rows: DataFrame, hot: DataFrame, f: Forest) -> DataFrame:
+    """Rows with ``place``, the region by whose depth a row is dealt out: the first on its way that is not hot; null where even the full key is."""
+    n = hot.count()
+    place = F.lit(None).cast("string")
+    for d in range(f.depth, f.least - 1, -1):
+        own = hot.where(F.col("depth") == d).select(F.col("prefix").alias(f"__p{d}"), F.lit(True).alias(f"__hot{d}"))
+        own = F.broadcast(own) if n <= LISTED else own
+        rows = rows.join(own, F.shiftright("key", _shift(f, d)) == F.col(f"__p{d}"), "left")
+        # deeper regions first, so that a shallower one that is not hot decides
+        place = F.when(F.col(f"__hot{d}").isNull(), F.concat(F.lit(f"{d}:"), F.shiftright("key", _shift(f, d)))).otherwise(place)
+    return rows.select(*_FOREST, place.alias("place"))
+
+
 def candidates(classes: DataFrame, f: Forest) -> DataFrame:
     """``(a, b)``: pairs of classes that the forest brings together, each once."""
     rows = classes.mapInArrow(_keys(f), _ROWS)
+    hot = cut(hot_regions(classes, f), "hot")
+    straight = None
     # a region is whole in a partition: all rows of a tree with the same first values
-    ordered = rows.repartition(F.shiftright("key", _shift(f, f.least))).sortWithinPartitions("key")
-    met = cut(ordered.mapInArrow(_neighbours(f), f"a long, b long, {_ROWS}").distinct(), "neighbours")
+    if hot.isEmpty():
+        dealt_out = rows.repartition(F.shiftright("key", _shift(f, f.least)))
+    else:
+        rows = placed(rows, hot, f)
+        straight = rows.where("place is null").drop("place")
+        dealt_out = rows.where("place is not null").repartition("place").drop("place")
+    met = cut(dealt_out.sortWithinPartitions("key").mapInArrow(_neighbours(f), f"a long, b long, {_ROWS}").distinct(), "neighbours")
     crowded = met.where("cid is not null").drop("a", "b")
+    crowded = crowded if straight is None else crowded.unionByName(straight)
     blocks = crowded.groupBy("key").agg(F.expr(f"cast(ceil(count(*) / {f.block}) as int)").alias("blocks"))
     dealt = crowded.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

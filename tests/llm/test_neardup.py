@@ -100,6 +100,21 @@ def test_block_path_in_spark(spark, limits):
     assert found(spark, data, **limits) == brute(data)
 
 
+@pytest.mark.parametrize(("hot", "listed"), [(3, 1000), (12, 1000), (60, 1000), (3, 2)])
+def test_hot_regions_are_dealt_out(spark, monkeypatch, hot, listed):
+    """Regions hot at each depth, the full key included: the same pairs, and no partition holds a hot region."""
+    monkeypatch.setattr(N, "LISTED", listed)
+    data = [(i, " ".join(f"c{j}" for j in range(40)) + f" own{i}") for i in range(120)] + [(1000 + i, t) for i, t in enumerate(versions(6, 20, 6))]
+    assert found(spark, data, small=2, block=16, looked=1, hot=hot) == brute(data)
+    f = N.forest(0.7, small=2, looked=1, hot=hot)
+    classes = N.classes_of(spark.createDataFrame(data, SCHEMA), 20)[0]
+    regions = N.hot_regions(classes, f)
+    rows = N.placed(classes.mapInArrow(N._keys(f), N._ROWS), regions, f)
+    assert {r["depth"] for r in regions.collect()} and rows.count() == classes.count() * f.trees
+    most = rows.where("place is not null").groupBy("place").count().agg({"count": "max"}).head()[0]
+    assert most < hot
+
+
 def test_edge_cases(spark):
     long = " ".join(f"w{i}" for i in range(50_000))
     base = " ".join(f"b{i}" for i in range(30))
