@@ -37,8 +37,11 @@ def _own(block, pdf: pd.DataFrame) -> np.ndarray:
         return (block["groups"][:, None] == pdf["grp"].to_numpy()[None, :]) & (block["ids"][:, None] != cand[None, :])
     at, of = block["pairs"]  # ordered by candidate
     own = np.zeros((len(block["ids"]), len(cand)), bool)
-    for j, (a, b) in enumerate(zip(np.searchsorted(of, cand, "left"), np.searchsorted(of, cand, "right"))):
-        own[at[a:b], j] = True
+    left, right = np.searchsorted(of, cand, "left"), np.searchsorted(of, cand, "right")
+    column = np.repeat(np.arange(len(cand)), right - left)
+    if len(column):
+        first = np.repeat(left - np.cumsum(right - left) + (right - left), right - left)
+        own[at[first + np.arange(len(column))], column] = True
     return own
 
 
@@ -63,19 +66,24 @@ def _negatives(shared, most: int):
     ids, unit, limit = block["ids"], block["unit"], block["limit"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list[tuple[float, int]]] = [[] for _ in ids]
+        row, cand, sim = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        worst = np.full(len(ids), -np.inf)  # the least similarity still of use to an anchor
         for pdf in batches:
             if not len(pdf):
                 continue
             sims = unit @ _unit(pdf["v"]).T
-            cand = pdf["id"].to_numpy()
-            ok = ~_own(block, pdf) & (ids[:, None] != cand[None, :]) & (sims <= limit[:, None])
-            for i in range(len(ids)):
-                at = np.flatnonzero(ok[i])
-                at = at[np.lexsort((cand[at], -sims[i, at]))][:most]
-                held[i] = sorted([*held[i], *zip(-sims[i, at], cand[at])])[:most]
-        rows = [(int(a), int(c), -float(s)) for a, h in zip(ids, held) for s, c in h]
-        yield pd.DataFrame(rows, columns=["anchor", "cand", "sim"])
+            these = pdf["id"].to_numpy()
+            sims[_own(block, pdf) | (ids[:, None] == these[None, :]) | (sims > limit[:, None])] = -np.inf
+            least = worst if sims.shape[1] <= most else np.maximum(worst, np.partition(sims, -most, axis=1)[:, -most])
+            i, j = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+            row, cand, sim = np.concatenate([row, i]), np.concatenate([cand, these[j]]), np.concatenate([sim, sims[i, j]])
+            order = np.lexsort((cand, -sim, row))
+            row, cand, sim = row[order], cand[order], sim[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+            row, cand, sim, place = (x[place < most] for x in (row, cand, sim, place))
+            full = place == most - 1
+            worst[row[full]] = sim[full]
+        yield pd.DataFrame({"anchor": ids[row], "cand": cand, "sim": sim})
 
     return run
 
@@ -118,7 +126,7 @@ def hard_negatives(
         block = block | {"limit": np.array([min(max_score, pos[i] * (1 - margin)) if i in pos else -np.inf for i in block["ids"].tolist()])}
         out.append(corpus.mapInPandas(_negatives(spark.sparkContext.broadcast(block), range_max), "anchor long, cand long, sim double"))
 
-    for r in chosen.toLocalIterator():
+    for r in chosen.toLocalIterator(prefetchPartitions=True):
         rows.append(r)
         if len(rows) == BLOCK:
             passes(rows)
