@@ -57,16 +57,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut_path(df: DataFrame, name: str) -> str:
-    """Write ``df`` to the shared folder and return where it is."""
+def cut_path(df: DataFrame, name: str, compression: str = "zstd") -> str:
+    """Write ``df`` to the shared folder and return where it is. Hashes do not compress: for them ``snappy`` costs less."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
-    return df.sparkSession.read.schema(df.schema).parquet(cut_path(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(cut_path(df, name, compression))
 
 
 def release(spark: SparkSession) -> int:
